@@ -26,11 +26,10 @@ def target_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
         items = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
         share = F.coalesce(F.create_map(*items)[F.col("source")], F.lit(0.0)) if items else F.lit(0.0)
     shares = counts.withColumn("share", share)
-    totals = shares.agg(F.sum("n").alias("all_n"), F.sum("share").alias("all_share"))
-    # one row on the right side
-    return shares.join(F.broadcast(totals)).select(
-        "source", "n", F.when(F.col("all_share") > 0, F.col("share") / F.col("all_share") * F.col("all_n") / F.col("n")).otherwise(F.lit(0.0)).alias("rate")
-    )
+    all_n, all_share = shares.agg(F.sum("n"), F.sum("share")).first()
+    if not all_share:
+        return shares.select("source", "n", F.lit(0.0).alias("rate"))
+    return shares.select("source", "n", (F.col("share") / F.lit(all_share) * F.lit(float(all_n)) / F.col("n")).alias("rate"))
 
 
 def poisson_table(rate: Column) -> Column:
