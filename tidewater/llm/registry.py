@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import lines, mixing, sharding, substrings
+from tidewater.llm import lines, mixing, sharding, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "evidence_mean", "evidence_peak")
+
+
 def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
@@ -56,7 +61,7 @@ FROM copies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op6_histogram_sharding, op7_line_dedup, op8_poisson_mixing)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op6_histogram_sharding, op7_line_dedup, op8_poisson_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
