@@ -31,7 +31,7 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _words(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and how many each text has. Words are runs of letters, digits, underscores and non-ASCII bytes."""
     flat = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8)
     inside = _WORD[flat]
@@ -55,7 +55,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> Iterator[np.ndarray]:
             parts.append(texts[start].lower().encode("utf-8", "replace"))
             size += len(parts[-1])
             start += 1
-        hashes, counts = _words(parts)
+        hashes, counts = word_hashes(parts)
         n = max(0, len(hashes) - words + 1)
         runs = np.zeros(n, dtype=np.uint64)
         for k in range(words):
