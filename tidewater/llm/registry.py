@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontamination, lines, minhash, mixing, sharding, substrings, toxicity
+from tidewater.llm import decontamination, fingerprints, lines, minhash, mixing, sharding, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -69,7 +73,7 @@ FROM copies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op5_benchmark_decontamination, op6_histogram_sharding, op7_line_dedup, op8_poisson_mixing, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op5_benchmark_decontamination, op6_histogram_sharding, op7_line_dedup, op8_poisson_mixing, op9_document_fingerprints, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
