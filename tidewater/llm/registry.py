@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontamination, fingerprints, lines, minhash, mixing, sharding, substrings, toxicity
+from tidewater.llm import decontamination, fingerprints, lines, minhash, mixing, sharding, substrings, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "evidence_mean", "evidence_peak")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri, files = tokens.write_tokens(table(spark, sf_dir, "documents"))
+    return tokens.read_tokens(files, uri)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,7 +78,7 @@ FROM copies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op5_benchmark_decontamination, op6_histogram_sharding, op7_line_dedup, op8_poisson_mixing, op9_document_fingerprints, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_token_files, op5_benchmark_decontamination, op6_histogram_sharding, op7_line_dedup, op8_poisson_mixing, op9_document_fingerprints, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
