@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ SELECT = 64
 #: A file is closed when it holds so many ids; a longer document has one of its own.
 FILE_IDS = 8 << 20
 #: Words whose ids a worker remembers at most before it starts anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_000_000
 _HEADER = struct.Struct("<8sQQQBB6x")
 
 
@@ -141,10 +144,26 @@ _PLAIN = re.compile("[\t\n\r -~¡-¬®-ÿ]*")
 _WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 
+
+def _byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+
+
+def _spelled(word: str) -> str:
+    return "".join([_LETTERS[b] for b in word.encode("utf-8")])
+
+
 class Encoder:
     """Texts to arrays of ids as bytes. Where the tokenizer splits into words first, a word is encoded once and remembered."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a task of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -154,10 +173,14 @@ class Encoder:
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.by_word = spec["normalizer"] == _NORMALIZER and split.get("pattern") == {"Regex": _PATTERN} and split.get("invert") is True and spec["post_processor"] is None
         self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or "(?!)")
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=f"<u{self.width}").tobytes()
+        made = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.by_word and _PLAIN.fullmatch(t) is not None and not self.special.search(t) for t in texts]
@@ -165,7 +188,8 @@ class Encoder:
         if len(self.known) > MEMORY_WORDS:
             self.known.clear()
         new = list(set().union(*words).difference(self.known))
-        self.known.update(zip(new, (self._packed(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        tokenize, spelled = self.model.tokenize, _spelled
+        self.known.update((w, self._packed([t.id for t in tokenize(w if w.isascii() else spelled(w))])) for w in new)
         rest = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) if p else self._packed(next(rest).ids) for w, p in zip(words, plain, strict=True)]
