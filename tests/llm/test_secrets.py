@@ -1,0 +1,60 @@
+"""Candidates against Python's re, held-out accuracy of the forest, and odd rows."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.llm import secrets
+
+
+def texts():
+    r = random.Random(5)
+    run = lambda n: "".join(r.choice("abcXYZ019+/_=-") for _ in range(n))
+    out = ["".join(r.choice([run(r.randint(1, 40)), " ", "é🌟", "\n", ". ", "word "]) for _ in range(r.randint(0, 60))) for _ in range(40)]
+    return out + [run(20), "", None, "x" * 16 + " " + "y" * 16, " ".join(run(18) for _ in range(2000))]
+
+
+def test_candidates_against_re(spark):
+    given = [(i, t, "src", 4) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(given, "doc_id long, text string, source string, start int")
+    got = {(r["doc"]["doc_id"], r["start"]): (r["run"], r["before"], r["after"]) for r in secrets.candidates(df).collect()}
+    want = {}
+    for i, t, *_ in given:
+        end = 0
+        found = list(re.finditer(secrets.CANDIDATE, t or ""))
+        for k, m in enumerate(found):
+            last = found[k + 1].start() if k + 1 < len(found) else len(t)
+            want[i, m.start()] = (m[0], t[max(end, m.start() - 48) : m.start()], t[m.end() : min(last, m.end() + 24)])
+            end = m.end()
+    assert got == want
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
+    made = secrets.labelled_findings(spark, 6000).withColumn("part", F.pmod(F.xxhash64("run"), F.lit(3))).cache()
+    return made.where("part > 0"), made.where("part = 0")
+
+
+def test_held_out_accuracy(parts):
+    train, held = parts
+    rated = secrets.rate(held, secrets.train(train)).select("label", (F.col("score") >= 0.5).cast("int").alias("said")).collect()
+    right = sum(r["label"] == r["said"] for r in rated)
+    assert len(rated) > 1500 and right >= 0.97 * len(rated)
+    assert {r["label"] for r in rated} == {0, 1}
+
+
+def test_scan(spark, parts):
+    key = "3f2a9c81d7b64e05a1c8f97723bd6e4410ac5f98"
+    rows = [
+        (1, f'set token = "{key}" here', "src1"), (1, f'set token = "{key}" here', "src1"), (2, f"merge commit {key} into main", "src1"),
+        (3, "the extraordinarilylonginventedword stands alone", None), (4, None, "src1"), (None, f"é password: {key}", "src1"), (5, "", ""),
+    ]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, source string, score double")
+    found = secrets.scan(df, parts[0])
+    assert found.columns == ["doc_id", "source", "start", "secret", "score"]
+    assert sorted((r["doc_id"] or -1, r["start"], r["secret"]) for r in found.collect()) == [(-1, 12, key), (1, 13, key), (1, 13, key)]
+    assert secrets.scan(df.where("false"), parts[0]).count() == 0
+    plan = found._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)

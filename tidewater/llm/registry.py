@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontamination, fingerprints, lines, minhash, mixing, sharding, substrings, tokens, toxicity
+from tidewater.llm import decontamination, fingerprints, lines, minhash, mixing, secrets, sharding, substrings, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.length("secret").alias("length"), F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -78,7 +83,7 @@ FROM copies
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_toxicity, op4_token_files, op5_benchmark_decontamination, op6_histogram_sharding, op7_line_dedup, op8_poisson_mixing, op9_document_fingerprints, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_toxicity, op4_token_files, op5_benchmark_decontamination, op6_histogram_sharding, op7_line_dedup, op8_poisson_mixing, op9_document_fingerprints, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
