@@ -1,15 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models over bytes.
 
-Two models of the next byte after five others, one of toxic and one of ordinary training documents, back off to the same
-continuation counts of shorter contexts, gathered from both. A text's evidence is the difference of its log-likelihoods
-over its length, as a whole and in its two most toxic blocks; a logistic curve fitted on other labelled rows turns it into a
-score from 0 to 1.
+Two models of the next byte, one of toxic and one of ordinary training documents, each of Kneser-Ney type from five
+bytes of context down to two, end in the same continuation counts of one byte of context and none, gathered from both.
+A text's evidence is the difference of its log-likelihoods over its length, as a whole and in its two most toxic
+blocks; a logistic curve fitted on other labelled rows turns it into a score from 0 to 1.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,15 @@ from tidewater.llm.common import materialize, packed, unpacked
 
 #: Bytes of a gram: five of context and the one foretold. Six bytes fill 48 bits of a long.
 ORDER = 6
+#: Grams of up to so many bytes count for both classes together.
+SHARED = 2
 DISCOUNT = 0.75
 #: Bytes of a block; a text's two most toxic blocks are evidence beside the whole.
 BLOCK = 32
-#: Up to so many grams the model is broadcast (16 bytes each, in a table at most 60 % full); beyond, grams are joined.
-BROADCAST_GRAMS = 6_000_000
+#: Up to so many grams the model is broadcast (12 bytes each, in a table at most 60 % full); beyond, grams are joined.
+BROADCAST_GRAMS = 4_000_000
+#: Up to so many labels (16 bytes each) are broadcast to the documents; beyond, both meet in a shuffled join.
+BROADCAST_LABELS = 500_000
 #: The logistic curve has five parameters and is fitted on so many labelled rows at most, those of the smallest hash.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
@@ -93,41 +98,46 @@ def _mask(order: int) -> int:
     return (1 << (8 * order)) - 1
 
 
-def gram_table(labelled: DataFrame) -> DataFrame:
-    """gram, context, ratio, weight: log-likelihood ratio of each seen gram, and of the back-off weights of its context.
+def _keyed(order: int, gram: Column) -> Column:
+    """A gram, or a context by the order of the gram it belongs to, as one number."""
+    return gram.bitwiseOR(F.lit(order << 48))
 
-    labelled: text, label. Counts come from all rows. The shared distribution of order k is of Kneser-Ney type: the
-    count of a gram is the number of bytes seen before it.
+
+def gram_tables(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, value) of seen grams with their log-likelihood ratio, and of contexts with that of their back-off weights.
+
+    labelled: text, label. Counts come from all rows; below the highest order the count of a gram is the number of
+    bytes that were seen before it, in its class or, up to SHARED bytes, in either.
     """
     counted = labelled.mapInPandas(_count_grams, "gram bigint, toxic bigint, plain bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    counted = materialize(counted, "toxicity-grams")
-    levels = {ORDER - 1: counted.groupBy(F.col("gram").bitwiseAND(_mask(ORDER - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))}
-    for k in range(ORDER - 2, 0, -1):
-        levels[k] = levels[k + 1].groupBy(F.col("gram").bitwiseAND(_mask(k)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    shared = None
-    for k in range(1, ORDER):
-        of = Window.partitionBy(F.shiftright("gram", 8))  # at most 256 rows
-        seen = levels[k].withColumns({"all": F.sum("n").over(of), "kinds": F.count(F.lit(1)).over(of)})
-        if shared is None:
-            seen = seen.withColumn("below", F.lit(1.0 / 256))
-        else:
-            seen = seen.withColumn("low", F.col("gram").bitwiseAND(_mask(k - 1))).join(shared, "low")
-        p = (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + F.lit(DISCOUNT) * F.col("kinds") * F.col("below")) / F.col("all")
-        shared = seen.select(F.col("gram").alias("low"), p.alias("below"))
-    of = Window.partitionBy("context")
-    grams = counted.withColumns({"context": F.shiftright("gram", 8), "low": F.col("gram").bitwiseAND(_mask(ORDER - 1))})
-    made = {}
-    for c in ("toxic", "plain"):
-        made |= {f"{c}_all": F.sum(c).over(of), f"{c}_kinds": F.sum((F.col(c) > 0).cast("int")).over(of)}
-    grams = grams.withColumns(made).join(shared, "low")
-
-    def weight(c: str) -> Column:
-        return F.when(F.col(f"{c}_all") > 0, F.lit(DISCOUNT) * F.col(f"{c}_kinds") / F.col(f"{c}_all")).otherwise(F.lit(1.0))
-
-    def p(c: str) -> Column:
-        return F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_all")).otherwise(F.lit(0.0)) + weight(c) * F.col("below")
-
-    return grams.select("gram", "context", F.log(p("toxic") / p("plain")).cast("float").alias("ratio"), F.log(weight("toxic") / weight("plain")).cast("float").alias("weight"))
+    levels = {ORDER: materialize(counted, "toxicity-grams")}
+    for k in range(ORDER - 1, 0, -1):
+        kinds = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "plain")] if k > SHARED else [F.count(F.lit(1)).alias("toxic")]
+        kinds += [] if k > SHARED else [F.count(F.lit(1)).alias("plain")]
+        levels[k] = levels[k + 1].groupBy(F.col("gram").bitwiseAND(_mask(k)).alias("gram")).agg(*kinds)
+    grams, contexts, below = [], [], None
+    for k in range(1, ORDER + 1):
+        context = F.shiftright("gram", 8)
+        of = Window.partitionBy(context)  # at most 256 rows
+        made = {"context": context, "low": F.col("gram").bitwiseAND(_mask(k - 1))}
+        for c in ("toxic", "plain"):
+            made |= {f"{c}_all": F.sum(c).over(of), f"{c}_kinds": F.sum((F.col(c) > 0).cast("int")).over(of)}
+        seen = levels[k].withColumns(made)
+        seen = seen.withColumns({"toxic_low": F.lit(1.0 / 256), "plain_low": F.lit(1.0 / 256)}) if below is None else seen.join(below, "low")
+
+        def weight(c: str) -> Column:
+            return F.when(F.col(f"{c}_all") > 0, F.lit(DISCOUNT) * F.col(f"{c}_kinds") / F.col(f"{c}_all")).otherwise(F.lit(1.0))
+
+        def p(c: str) -> Column:
+            return F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"{c}_all")).otherwise(F.lit(0.0)) + weight(c) * F.col(f"{c}_low")
+
+        level = seen.select("gram", "context", p("toxic").alias("toxic_low"), p("plain").alias("plain_low"), F.log(weight("toxic") / weight("plain")).cast("float").alias("weight"))
+        if k > SHARED:
+            level = materialize(level, "toxicity-level")
+            grams.append(level.select(_keyed(k, F.col("gram")).alias("key"), F.log(F.col("toxic_low") / F.col("plain_low")).cast("float").alias("value")))
+            contexts.append(level.groupBy(_keyed(k, F.col("context")).alias("key")).agg(F.max("weight").alias("value")))
+        below = level.select(F.col("gram").alias("low"), "toxic_low", "plain_low")
+    return reduce(DataFrame.unionAll, grams), reduce(DataFrame.unionAll, contexts)
 
 
 class Lookup:
@@ -174,9 +184,13 @@ def evidence(texts: list[str], grams: Lookup, contexts: Lookup) -> tuple[np.ndar
     for start, g, lengths in _pieces(texts):
         if not len(g):
             continue
-        ratio, hit = grams.get(g)
-        miss = np.flatnonzero(~hit)
-        ratio[miss] = contexts.get(g[miss] >> np.uint64(8))[0]
+        ratio, open_ = np.zeros(len(g), dtype=np.float32), np.arange(len(g))
+        for k in range(ORDER, SHARED, -1):
+            part, tag = g[open_] & np.uint64(_mask(k)), np.uint64(k << 48)
+            value, hit = grams.get(part | tag)
+            ratio[open_] += value
+            open_ = open_[~hit]
+            ratio[open_] += contexts.get((part[~hit] >> np.uint64(8)) | tag)[0]
         filled = np.flatnonzero(lengths)
         begins = (np.cumsum(lengths) - lengths)[filled]
         mean[start + filled] = np.add.reduceat(ratio, begins, dtype=np.float64) / lengths[filled]
@@ -193,7 +207,7 @@ def evidence(texts: list[str], grams: Lookup, contexts: Lookup) -> tuple[np.ndar
     return mean, peak, second
 
 
-def _evidence_by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
+def _evidence_by_join(texts: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
     """The same evidence (key, e) where the model is too large to broadcast: grams meet it in shuffled joins."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,11 +217,14 @@ def _evidence_by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
                 at = np.arange(len(g)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 yield pd.DataFrame({"key": np.repeat(keys[start : start + len(lengths)], lengths), "block": at // BLOCK, "gram": g.astype(np.int64)})
 
-    grams = texts.mapInPandas(blocks, "key bigint, block bigint, gram bigint").groupBy("key", "block", "gram").agg(F.count(F.lit(1)).alias("n"))
-    seen = grams.join(table.select("gram", "ratio"), "gram", "left")
-    weights = table.select("context", "weight").distinct()
-    full = seen.withColumn("context", F.shiftright("gram", 8)).join(weights, "context", "left")
-    each = full.withColumn("x", F.col("n") * F.coalesce("ratio", "weight", F.lit(0.0)).cast("double"))
+    each = texts.mapInPandas(blocks, "key bigint, block bigint, gram bigint").groupBy("key", "block", "gram").agg(F.count(F.lit(1)).alias("n"))
+    each = each.withColumns({"x": F.lit(0.0), "open": F.lit(True)})
+    for k in range(ORDER, SHARED, -1):
+        gram = F.col("gram").bitwiseAND(_mask(k))
+        each = each.withColumns({"g": F.when(F.col("open"), _keyed(k, gram)), "c": F.when(F.col("open"), _keyed(k, F.shiftright(gram, 8)))})
+        each = each.join(grams.select(F.col("key").alias("g"), F.col("value").alias("ratio")), "g", "left").join(contexts.select(F.col("key").alias("c"), F.col("value").alias("weight")), "c", "left")
+        each = each.withColumns({"x": F.col("x") + F.coalesce("ratio", "weight", F.lit(0.0)), "open": F.col("open") & F.col("ratio").isNull()}).drop("ratio", "weight", "g", "c")
+    each = each.withColumn("x", F.col("x") * F.col("n"))
     by_block = each.groupBy("key", "block").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     sums = by_block.groupBy("key").agg((F.sum("x") / F.sum("n")).alias("mean"), F.sort_array(F.collect_list("x"), asc=False).alias("x"))
     return sums.select("key", F.struct("mean", (F.col("x")[0] / BLOCK).alias("peak"), (F.coalesce(F.try_element_at("x", F.lit(2)), F.lit(0.0)) / BLOCK).alias("second")).alias("e"))
@@ -215,11 +232,11 @@ def _evidence_by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Both lookup tables (None where the model stays a table), the table, and the logistic curve."""
+    """Lookups of grams and contexts, broadcast or as tables, and the logistic curve."""
 
+    broadcast: bool
     grams: object
     contexts: object
-    table: DataFrame
     curve: list[float]
     centre: list[float]
     scale: list[float]
@@ -249,29 +266,35 @@ def train(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_G
     spark = docs.sparkSession
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
 
+    few = marks.count() <= BROADCAST_LABELS
+
     def rows(folds: list[int]) -> DataFrame:
         texts = docs.where(F.col("text").isNotNull() & fold(F.col("doc_id")).isin(folds)).select("doc_id", "text")
-        return texts.join(marks.where(fold(F.col("doc_id")).isin(folds)), "doc_id")
+        wanted = marks.where(fold(F.col("doc_id")).isin(folds))
+        return texts.join(F.broadcast(wanted) if few else wanted, "doc_id")
 
     shares = marks.where(fold(F.col("doc_id")) != 2).agg(F.avg("label")).first()[0] or 0.0
     if shares in (0.0, 1.0):
         return float(shares)
-    table = materialize(gram_table(rows([0, 1]).select("text", "label")), "toxicity-model")
+    grams, contexts = (materialize(t, "toxicity-model") for t in gram_tables(rows([0, 1]).select("text", "label")))
     held = rows([3]).select("label", "text", F.xxhash64("doc_id").alias("key")).orderBy("key").limit(CALIBRATION_ROWS)
-    grams = contexts = None
-    if table.count() <= broadcast_grams:
-        keys = table.select("gram", "context", "ratio", "weight").toPandas()
-        grams = spark.sparkContext.broadcast(Lookup(keys["gram"].to_numpy(), keys["ratio"].to_numpy()))
-        one = keys.drop_duplicates("context")
-        contexts = spark.sparkContext.broadcast(Lookup(one["context"].to_numpy(), one["weight"].to_numpy()))
+    small = grams.count() <= broadcast_grams
+    if small:
+        grams, contexts = (spark.sparkContext.broadcast(_lookup(t)) for t in (grams, contexts))
         rated = held.select("label", _evidence_column(F.col("text"), grams, contexts).alias("e")).select("label", "e.*").toPandas()
     else:
         held = materialize(held, "toxicity-held")
-        rated = held.join(_evidence_by_join(held.select("key", "text"), table), "key", "left").select("label", "e.*").toPandas()
+        rated = held.join(_evidence_by_join(held.select("key", "text").dropDuplicates(["key"]), grams, contexts), "key", "left").select("label", "e.*").toPandas()
     if rated["label"].nunique() < 2:
         return float(shares)
     curve, centre, scale = _fit_curve(_features(rated), rated["label"].to_numpy().astype(float))
-    return Model(grams, contexts, table, curve, centre, scale)
+    return Model(small, grams, contexts, curve, centre, scale)
+
+
+def _lookup(table: DataFrame) -> Lookup:
+    """From two columns, which come as Arrow batches; 12 bytes a row."""
+    keys, values = table.toArrow().columns
+    return Lookup(keys.to_numpy(), values.to_numpy())
 
 
 def _evidence_column(text: Column, grams: object, contexts: object) -> Column:
@@ -294,11 +317,11 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_G
     if isinstance(model, float):
         value = F.lit(model)
         return unpacked(rows, columns, held_out=held_out, score=value, predicted=(value >= THRESHOLD).cast("int"), evidence_mean=F.lit(0.0), evidence_peak=F.lit(0.0))
-    if model.grams is not None:
+    if model.broadcast:
         rated = rows.withColumn("e", _evidence_column(F.col("doc.text"), model.grams, model.contexts))
     else:
         keyed = rows.withColumn("key", F.xxhash64("doc.doc_id", "doc.text"))
-        found = _evidence_by_join(keyed.select("key", F.col("doc.text").alias("text")).dropDuplicates(["key"]), model.table)
+        found = _evidence_by_join(keyed.select("key", F.col("doc.text").alias("text")).dropDuplicates(["key"]), model.grams, model.contexts)
         rated = keyed.join(found, "key", "left")
     mean, peak, second = (F.coalesce(f"e.{c}", F.lit(0.0)) for c in ("mean", "peak", "second"))
     z = F.lit(model.curve[0])
@@ -307,3 +330,10 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_G
     value = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
     rated = rated.withColumn("value", value)
     return unpacked(rated, columns, held_out=held_out, score=F.col("value"), predicted=(F.col("value") >= THRESHOLD).cast("int"), evidence_mean=mean, evidence_peak=peak)
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents whose score is under the threshold, with their own columns, whatever their names."""
+    columns = docs.columns
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"))
+    return score(whole, labels).where(F.col("score") < threshold).select(*[F.col("own").getField(c).alias(c) for c in columns])
