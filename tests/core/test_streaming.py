@@ -1,0 +1,110 @@
+"""Replicas: restart, re-grouping and repetition give what one batch gives."""
+
+import json
+import random
+
+import pytest
+
+from tidewater.config import PiiRule
+from tidewater.functions.pii import protect
+from tidewater.sources.readers import changes
+from tidewater.streaming.replica import Replica, delays, follow, may_pass, retried, supervised
+
+ROW = "struct<id:bigint,name:string,qty:int>"
+EVENTS = f"seq bigint, op string, before {ROW}, after {ROW}"
+
+
+def log(seed=1, n=400):
+    r, out, rows = random.Random(seed), [], {}
+    for seq in range(n):
+        k = r.randrange(40)
+        old = rows.get(k)
+        op = r.choice(["insert", "update", "replace", "delete", "move", "ddl"])
+        new = {"id": k, "name": f"n{seq}", "qty": r.randrange(9)}
+        if op == "delete":
+            out.append((seq, "delete", old or {"id": k, "name": None, "qty": None}, None))
+            rows.pop(k, None)
+        elif op == "move" and old:
+            new["id"] = 100 + r.randrange(20)
+            out.append((seq, "update", old, new))
+            rows.pop(k)
+            rows[new["id"]] = new
+        elif op == "ddl":
+            out.append((seq, "ddl", None, new))
+        else:
+            out.append((seq, "replace" if op == "move" else op, None, new))
+            rows[k] = new
+    return out, rows
+
+
+def landed(tmp_path, events, sizes):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    at = 0
+    for i, size in enumerate(sizes):
+        lines = [json.dumps({"seq": s, "op": o, "before": b, "after": a}) for s, o, b, a in events[at : at + size]]
+        (folder / f"{i:05d}.json").write_text("\n".join(lines))
+        at += size
+    return str(folder)
+
+
+def rows_of(replica):
+    return {r["id"]: {"id": r["id"], "name": r["name"], "qty": r["qty"]} for r in replica.read().collect()}
+
+
+@pytest.mark.parametrize("sizes", [[400], [1, 99, 100, 200], [40] * 10])
+def test_stream_equals_replay_in_any_grouping(spark, tmp_path, sizes):
+    events, want = log()
+    path = landed(tmp_path, events, sizes)
+    replica = Replica(spark, str(tmp_path / "replica"), ("id",), "id bigint, name string, qty int", 4)
+    stream = lambda: changes(spark, path, EVENTS, "json", True, 3)
+    follow(stream(), replica, str(tmp_path / "ckpt")).awaitTermination()
+    assert rows_of(replica) == want
+    # a restart finds nothing new; without its checkpoint all events come again and change nothing
+    follow(stream(), replica, str(tmp_path / "ckpt")).awaitTermination()
+    other = Replica(spark, str(tmp_path / "replica"), ("id",), "id bigint, name string, qty int", 4)
+    other.apply(changes(spark, path, EVENTS), other.last_batch + 1)
+    assert rows_of(other) == want
+    assert other.apply(changes(spark, path, EVENTS), 0) is False
+    assert other.vacuum() > 0 and rows_of(other) == want
+
+
+def test_late_older_changes_do_not_win(spark, tmp_path):
+    replica = Replica(spark, str(tmp_path / "r"), ("id",), "id bigint, name string, qty int", 2)
+    make = lambda *e: spark.createDataFrame([(s, o, None, (1, n, 0)) for s, o, n in e], EVENTS)
+    replica.apply(make((5, "delete", "x")), 0)
+    replica.apply(make((3, "insert", "old")), 1)
+    assert rows_of(replica) == {}
+    replica.apply(make((9, "insert", "new")), 2)
+    replica.apply(make((7, "delete", "x")), 3)
+    assert rows_of(replica)[1]["name"] == "new"
+
+
+def test_protection_on_the_way_and_ignored_deletes(spark, tmp_path):
+    events, _ = log(2, 100)
+    path = landed(tmp_path, events, [50, 50])
+    replica = Replica(spark, str(tmp_path / "replica"), ("id",), "id bigint, name string, qty int", 2)
+    hide = lambda df: protect(df, [PiiRule("after.name", "masked")])
+    follow(changes(spark, path, EVENTS, "json", True), replica, str(tmp_path / "c"), prepare=hide, ignore_deletes=True).awaitTermination()
+    rows = rows_of(replica)
+    assert rows and all(set(r["name"]) == {"*"} for r in rows.values())
+    assert {e[3]["id"] for e in events if e[1] in ("insert", "replace")} - set(rows) <= {e[2]["id"] for e in events if e[1] == "update" and e[2]}
+
+
+def test_supervision():
+    class Query:
+        def __init__(self, error):
+            self.error = error
+
+        def awaitTermination(self):
+            if self.error:
+                raise self.error
+
+    errors, slept = [RuntimeError("Connection reset by peer"), RuntimeError("i/o timeout"), None], []
+    assert supervised(lambda: Query(errors.pop(0)), sleep=slept.append) == 2
+    assert slept == [5.0, 7.5] and delays()[-1] <= 300 and len(delays()) == 10
+    with pytest.raises(RuntimeError, match="syntax"):
+        supervised(lambda: Query(RuntimeError("syntax error")), sleep=slept.append)
+    calls = []
+    assert retried(lambda: calls.append(1) or (1 / 0 if len(calls) < 3 else "ok"), sleep=lambda s: None) == "ok"
+    assert may_pass("EOF") and not may_pass("duplicate key")
