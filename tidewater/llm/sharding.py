@@ -94,7 +94,7 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, chunk_byte
     of a shard) and one document at most. Equal texts stand next to each other and in one shard, but for groups that a
     boundary must part. Rows of the same text and doc_id are alike, so it does not matter which gets which slot. A null
     text is as an empty one of size 1; a null doc_id sorts first. No documents: no rows.
-    A task sorts about chunk_bytes, since each shard is dealt out in narrower key ranges and a large group of equal
+    A task sorts about chunk_bytes, or less where that would leave tasks idle, since each shard is dealt out in narrower key ranges and a large group of equal
     texts by salt; slots come from exact counts of these ranges.
     """
     columns = docs.columns
@@ -104,7 +104,8 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, chunk_byte
     group = F.shiftright("key", SALT_BITS)
     limit = max(split.total / HEAVY, 1.0)
     heavy = {r["g"]: r["bytes"] for r in keys.groupBy(group.alias("g")).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > limit).collect()}
-    parts = max(1, min(1 << 14, -(-split.total // (shards * chunk_bytes))))
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(-(-tasks // shards), min(1 << 20, -(-split.total // (shards * chunk_bytes))))
     edges = [0, *split.keys, 1 << KEY_BITS]
 
     def bins(df: DataFrame) -> DataFrame:
