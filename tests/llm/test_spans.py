@@ -31,16 +31,22 @@ def line_runs(text):
 
 def sentence_runs(text):
     units = [(i, x.lower().split()) for i, x in enumerate(substrings.sentences(text)) if x.split()]
-    runs = [(units[j][0], units[j + 2][0], tuple(tuple(w) for _, w in units[j : j + 3])) for j in range(len(units) - 2)]
-    return [r for r in runs if sum(map(len, r[2])) >= substrings.MIN_WORDS]
+    enough = lambda j, k: k - j >= 3 and sum(len(w) for _, w in units[j:k]) >= 10
+    n, found = len(units), set()
+    for j in range(n):
+        found |= {(j, k) for k in [next((k for k in range(j, n + 1) if enough(j, k)), None)] if k}
+        found |= {(i, j + 1) for i in [next((i for i in range(j, -1, -1) if enough(i, j + 1)), None)] if i is not None}
+    return [(units[j][0], units[k - 1][0], tuple(tuple(w) for _, w in units[j:k])) for j, k in sorted(found)]
 
 
 def corpus(seed):
     r = random.Random(seed)
     pool = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(1, 9))) + r.choice(".!?") for _ in range(25)]
+    pool += ["a!", "b!", "c!"]
     texts = ["".join(r.choice(pool) + r.choice([" ", "\n", "\n\n", " \n"]) for _ in range(r.randint(0, 14))) for _ in range(40)]
     block = "\n".join(pool[:6])
-    return texts + [block, block + "\n" + pool[9], "x\n" + block, "", None, "\n\n\n", " ", "word " * 5000, "a\n" * 4000]
+    short = " ".join(r.choice("ABCDEFG") + "!!" for _ in range(30))
+    return texts + [short + " x", "y.\n" + short, block, block + "\n" + pool[9], "x\n" + block, "", None, "\n\n\n", " ", "word " * 3000, "a\n" * 900]
 
 
 def test_sentences_keep_the_text():
@@ -52,12 +58,12 @@ def test_sentences_keep_the_text():
 
 def check(spark, dedup, units_of, runs_of):
     texts = corpus(1)
-    ids = [3 * ((i * 17) % len(texts)) for i in range(len(texts))]
+    ids = [3 * ((i * 7919) % len(texts)) for i in range(len(texts))]
     df = spark.createDataFrame(rows(texts, ids), SCHEMA).repartition(5)
     got = {r["doc_id"]: r for r in dedup(df).collect()}
     want = brute(sorted(zip(ids, texts)), units_of, runs_of)
     assert {k: r["text"] for k, r in got.items()} == want
-    assert sum(r["n_removed"] > 0 for r in got.values()) >= 4
+    assert sum(r["n_removed"] > 0 for r in got.values()) >= 3
     assert all(r["row"] == 7 and r["covered"] == "x" and r["n_chars"] == len(r["text"] or "") for r in got.values())
 
 
@@ -66,11 +72,11 @@ def test_lines_against_brute_force(spark):
 
 
 def test_substrings_against_brute_force(spark):
-    check(spark, substrings.dedup_substrings, substrings.sentences, sentence_runs)
+    check(spark, lambda df: substrings.dedup_substrings(df, min_words=10), substrings.sentences, sentence_runs)
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
-    block = "one two three four.\nfive six seven eight.\nnine ten eleven twelve.\n"
+    block = "one two three four five six seven.\neight nine ten eleven twelve thirteen.\na b c d e f g h i j k l.\n"
     for dedup in (lines.dedup_lines, substrings.dedup_substrings):
         got = dedup(spark.createDataFrame([(1, block), (1, block), (2, block), (None, "other\n" + block)], "doc_id long, text string")).collect()
         assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in got) == [(-1, 0), (1, 3), (1, 3), (2, 3)]

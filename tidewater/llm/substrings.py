@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import packed, unpacked
 from tidewater.llm.spans import SPAN, later_occurrences, merged, range_units, row_hash
 
-#: Consecutive sentences of a span, and the words it has at least.
-RUN, MIN_WORDS = 3, 10
+#: Consecutive sentences of a span at least, and words; a run of short sentences goes on until it has both.
+RUN, MIN_WORDS = 3, 20
 #: A longer sentence counts as several, so that a long passage always has spans.
 MAX_WORDS = 16
 
@@ -50,18 +50,27 @@ def _mixed(a: np.ndarray) -> np.ndarray:
 
 
 def spans_of(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[dict]:
-    """s, e, h1, h2 of every run of consecutive filled sentences with enough words; words are compared without case."""
+    """s, e, h1, h2 of the shortest runs of enough filled sentences and words from each sentence on and up to each; words are compared without case."""
     units = [(i, w) for i, w in enumerate(map(str.split, map(str.lower, sentences(text)))) if w]
-    if len(units) < run:
+    n = len(units)
+    if n < run:
         return []
-    n = len(units) - run + 1
+    total = np.concatenate([[0], np.cumsum([len(w) for _, w in units])])
+    place = np.arange(n)
+    ends = np.maximum(np.searchsorted(total, total[:-1] + min_words), place + run)  # of the run from here on
+    starts = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, place + 1 - run)  # of the run up to here
+    ahead, back = ends <= n, (starts >= 0) & (place + 1 - starts > run)
+    first, last = np.concatenate([place[ahead], starts[back]]), np.concatenate([ends[ahead], place[back] + 1])
+    if not len(first):
+        return []
+    first, last = np.unique(np.stack([first, last]), axis=1) if back.any() else (first, last)
     digests = np.array([divmod(xxhash.xxh3_128_intdigest(" ".join(w)), 1 << 64) for _, w in units], dtype=np.uint64)
-    words = np.convolve([len(w) for _, w in units], np.ones(run, dtype=np.int64), "valid")
-    h = np.zeros((n, 2), dtype=np.uint64)
-    for j in range(run):
-        h = _mixed(h + digests[j : j + n] + np.uint64(0x9E3779B97F4A7C15))
+    h = np.zeros((len(first), 2), dtype=np.uint64)
+    for j in range(int((last - first).max())):
+        more = np.flatnonzero(first + j < last)
+        h[more] = _mixed(h[more] + digests[first[more] + j] + np.uint64(0x9E3779B97F4A7C15))
     h = h.view(np.int64)
-    return [{"s": units[i][0], "e": units[i + run - 1][0], "h1": a, "h2": b} for i, (a, b) in enumerate(h.tolist()) if words[i] >= min_words]
+    return [{"s": units[i][0], "e": units[k - 1][0], "h1": x, "h2": y} for i, k, (x, y) in zip(first.tolist(), last.tolist(), h.tolist(), strict=True)]
 
 
 def _span_batches(run: int, min_words: int):
@@ -90,12 +99,12 @@ def _without(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
 
 
 def dedup_substrings(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """Each document without the sentences that a non-first repeated span of `run` consecutive sentences covers.
+    """Each document without the sentences that a non-first repeated span of `run` or more consecutive sentences covers.
 
     Replaces text; adds n_sentences, n_removed and removed (ranges [s, e] of removed sentences, from 0), in place of
     columns of these names; n_chars, where docs has it, follows the text. Of a repeated span the occurrence of the
-    smallest doc_id, then the earliest, stays (null ids come first, by the row's hash). Spans of under min_words words
-    do not count, nor do documents of under `run` sentences. Rows of equal doc_id and text are one document. Null texts
+    smallest doc_id, then the earliest, stays (null ids come first, by the row's hash). Documents of under
+    `run` sentences or min_words words have no spans. Rows of equal doc_id and text are one document. Null texts
     stay null, empty ones empty. No documents: no rows.
     """
     columns = docs.columns
