@@ -22,6 +22,8 @@ RECALL = 0.999
 ROWS = 5
 #: Sets that one verification block holds, and shingles in it.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
+#: Up to so many large components (their size classes take some 100 bytes each) are broadcast; beyond, they are joined by shuffle.
+BROADCAST_LARGE = 20_000
 #: Up to so many representatives (24 bytes each) are broadcast to fetch their texts; beyond, texts are fetched by shuffle.
 BROADCAST_SETS = 200_000
 
@@ -147,13 +149,17 @@ def _blocks(sets: DataFrame, threshold: float) -> DataFrame:
     """
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))).cast("int")
     parts = lambda count, shingles: F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
-    whole = sets.groupBy("root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles"))
-    sets = sets.join(whole, "root").withColumn("level", F.when(parts(F.col("count"), F.col("shingles")) > 1, level).otherwise(F.lit(0)))
-    by_level = sets.groupBy("root", "level").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    # only components of more than one part need a size to be looked up; they have BLOCK_SETS sets or a long text each
+    large = sets.groupBy("root").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("all_parts")).where("all_parts > 1").select("root", F.lit(True).alias("large"))
+    large = materialize(large, "large")
+    sent = F.broadcast if large.count() <= BROADCAST_LARGE else (lambda df: df)
+    sets = sets.join(sent(large), "root", "left").withColumn("level", F.when(F.col("large"), level).otherwise(F.lit(0)))
+    by_level = materialize(sets.where("large").groupBy("root", "level").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("parts")), "levels")
     above = by_level.select("root", (F.col("level") - 1).alias("level"), F.col("parts").alias("parts_above"))
     below = by_level.select("root", (F.col("level") + 1).alias("level"), F.col("parts").alias("parts_below"))
     sized = by_level.join(above, ["root", "level"], "left").join(below, ["root", "level"], "left")
-    mine = sets.join(sized, ["root", "level"]).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    mine = sets.join(sent(sized), ["root", "level"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    mine = mine.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
     zero = F.lit(0)
 
     def numbered(n: Column) -> Column:
