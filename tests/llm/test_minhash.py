@@ -110,10 +110,10 @@ def test_shingles_and_recall():
     texts = [t or "" for t in corpus()]
     assert [len(s) for s in shingle_sets(texts)] == [len(shingles(t)) for t in texts]
     b = minhash.bands_for()
-    assert 1 - (1 - 0.8**minhash.ROWS) ** b >= 0.999
+    assert 1 - (1 - 0.8**minhash.ROWS) ** b >= 0.99999
     r, hits = np.random.default_rng(3), 0
     for _ in range(200):
         x = r.integers(0, 1 << 63, 450, dtype=np.uint64)
         one, two = np.unique(x[:405]), np.unique(x[45:])  # 360 of 450
         hits += bool((minhash.signature(one, b, 5) == minhash.signature(two, b, 5)).any())
-    assert hits >= 197
+    assert hits >= 199

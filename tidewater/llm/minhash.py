@@ -18,7 +18,7 @@ from tidewater.llm.spans import row_hash
 
 THRESHOLD = 0.8
 #: The least probability with which a pair of exactly the threshold becomes a candidate.
-RECALL = 0.999
+RECALL = 0.99999
 ROWS = 5
 #: Sets that one verification block holds, and shingles in it.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
