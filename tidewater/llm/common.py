@@ -32,12 +32,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it back, so that a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def release(*frames_or_paths: str) -> None:
-    """Remove scratch paths that no later plan reads."""
-    for spark, path in [x for x in _written if x[1] in frames_or_paths]:
+def release(*frames: DataFrame | None) -> None:
+    """Remove the scratch tables of frames that materialize gave and no later plan reads."""
+    gone = {getattr(f, "scratch", None) for f in frames if f is not None}
+    for spark, path in [x for x in _written if x[1] in gone]:
         _remove(spark, path)
         _written.remove((spark, path))
 

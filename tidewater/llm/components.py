@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize
+from tidewater.llm.common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,21 +19,18 @@ def components(edges: DataFrame) -> DataFrame:
     roots = None
     while not edges.isEmpty():
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"))
-        to = _jumped(materialize(to, "pointers"))
-        to = materialize(to, "pointers")
-        roots = to if roots is None else materialize(_followed(roots, to), "roots")
+        low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"))
+        short = materialize(low, "pointers")
+        to = materialize(_followed(short, short), "pointers")
+        new_roots = to if roots is None else materialize(_followed(roots, to), "roots")
         a, b = to.select(F.col("node").alias("a"), F.col("root").alias("ra")), to.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = edges.join(a, "a").join(b, "b").where("ra <> rb")
-        edges = materialize(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        new_edges = materialize(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        release(edges, short, roots, None if to is new_roots else to)
+        edges, roots = new_edges, new_roots
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _jumped(to: DataFrame) -> DataFrame:
-    """Pointers of twice the length."""
-    return _followed(to, to)
-
-
 def _followed(first: DataFrame, then: DataFrame) -> DataFrame:
     """node and where `then` leads from its root; roots that `then` does not know stay."""
     then = then.select(F.col("node").alias("root"), F.col("root").alias("end"))
