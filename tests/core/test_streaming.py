@@ -108,3 +108,51 @@ def test_supervision():
     calls = []
     assert retried(lambda: calls.append(1) or (1 / 0 if len(calls) < 3 else "ok"), sleep=lambda s: None) == "ok"
     assert may_pass("EOF") and not may_pass("duplicate key")
+
+
+def test_statistics_of_a_stream(spark, tmp_path):
+    from tidewater.streaming.statistics import Progress, Statistics
+
+    events, _ = log(3, 120)
+    path = landed(tmp_path, events, [60, 60])
+    kept, listener = Statistics(7), Progress()
+    spark.streams.addListener(listener)
+    replica = Replica(spark, str(tmp_path / "replica"), ("id",), "id bigint, name string, qty int", 2)
+    query = follow(changes(spark, path, EVENTS, "json", True, 1), replica, str(tmp_path / "c"), on_batch=kept.hook("users"))
+    query.awaitTermination()
+    spark.streams.removeListener(listener)
+    known = [e for e in events if e[1] != "ddl"]
+    ((task, name, received, executed, pending, inserted, updated, deleted),) = kept.rows()
+    assert (task, name, received, executed, pending) == (7, "users", 120, len(known), 120 - len(known))
+    assert (inserted, updated, deleted) == tuple(sum(e[1] in k for e in known) for k in (("insert",), ("update", "replace"), ("delete",)))
+    kept.hook("users")(spark.read.schema(EVENTS).json(path), 0)
+    assert kept.rows()[0][2] == 120
+
+
+def test_bounded_batches():
+    from tidewater.streaming.batching import bounded_prefix, estimated, rate_options
+
+    assert bounded_prefix([100 << 20] * 10) == 5
+    assert bounded_prefix([1 << 20] * 2000) == 256
+    assert bounded_prefix([1] * 2000) == 1000
+    assert bounded_prefix([1] * 3) == 3 and bounded_prefix([]) == 0
+    assert estimated([10, 20], 10) == 150 and estimated([], 3) == 0
+    assert rate_options() == {"maxBytesPerTrigger": str(256 << 20)} and rate_options(0, 7) == {"maxFilesPerTrigger": "7"}
+
+
+def test_comparison_of_a_task(spark):
+    from datetime import datetime
+
+    from pyspark.errors import AnalysisException
+
+    from tidewater.config import TableMapping, Task
+    from tidewater.operators.schedule import alerts, compare
+
+    def target(name):
+        if name == "lost":
+            raise AnalysisException("no such table")
+        return spark.range(2)
+
+    task = Task(4, "mysql", mappings=(TableMapping("a", "b"), TableMapping("a", "lost")))
+    made = compare(spark, task, lambda _: spark.range(3), target, datetime(2024, 1, 1))
+    assert sorted((r["tgt_table"], r["difference"]) for r in alerts(made).collect()) == [("b", 1), ("lost", 4)]
