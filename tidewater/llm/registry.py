@@ -24,7 +24,31 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+    done = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    ranges = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["s"].cast("string"), r["e"].cast("string"))), ",")
+    return done.select("doc_id", "lang", "source", "text", "n_chars", "n_lines", "n_removed", ranges.alias("removed"))
+
+
+OP7_SQL = """
+WITH split AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i, len(l) AS n FROM split),
+filled AS (SELECT doc_id, i, trim(translate(x, chr(13) || chr(9), '  '), ' ') AS x FROM lines WHERE trim(translate(x, chr(13) || chr(9), '  '), ' ') <> ''),
+runs AS (
+  SELECT doc_id, i AS s, lead(i, 2) OVER w AS e, x || chr(10) || lead(x, 1) OVER w || chr(10) || lead(x, 2) OVER w AS run
+  FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS rn FROM runs WHERE e IS NOT NULL),
+covered AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM ranked WHERE rn > 1),
+islands AS (SELECT doc_id, min(i) AS s, max(i) AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM covered) GROUP BY doc_id, g),
+gone AS (SELECT doc_id, sum(e - s + 1)::INT AS n_removed, string_agg(s::VARCHAR || '-' || e::VARCHAR, ',' ORDER BY s) AS removed FROM islands GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, coalesce(string_agg(CASE WHEN c.i IS NULL THEN x || CASE WHEN l.i < n - 1 THEN chr(10) ELSE '' END END, '' ORDER BY l.i), '') AS text
+  FROM lines l LEFT JOIN covered c USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, lang, source, CASE WHEN g.doc_id IS NULL THEN d.text ELSE k.text END AS text, coalesce(length(CASE WHEN g.doc_id IS NULL THEN d.text ELSE k.text END), 0) AS n_chars,
+  len(s.l)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed, coalesce(removed, '') AS removed
+FROM documents d JOIN split s USING (doc_id) JOIN kept k USING (doc_id) LEFT JOIN gone g ON g.doc_id = d.doc_id
+"""
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +83,27 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+OP10_SQL = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\\x{80}-\\x{10FFFF}]+') AS w FROM documents
+),
+texts AS (
+  SELECT text, min(doc_id) AS t, any_value(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s
+  FROM worded GROUP BY text
+),
+each AS (SELECT t, len(s) AS n, unnest(s) AS g FROM texts),
+common AS (SELECT a.t AS x, b.t AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM each a JOIN each b ON a.g = b.g AND a.t < b.t GROUP BY a.t, b.t),
+links AS (SELECT x, y FROM common WHERE 5 * c >= 4 * (nx + ny - c)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+edges AS (SELECT x, y FROM sides UNION SELECT a.t, b.t FROM texts a, texts b WHERE len(a.s) = 0 AND len(b.s) = 0),
+reach(t, r) AS (SELECT t, t FROM texts UNION SELECT reach.t, edges.y FROM reach JOIN edges ON reach.r = edges.x),
+classes AS (SELECT t, min(r) AS class_id FROM reach GROUP BY t),
+degrees AS (SELECT x AS t, count(*) AS n_links FROM sides GROUP BY x)
+SELECT w.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM worded w JOIN texts USING (text) JOIN classes USING (t) LEFT JOIN degrees USING (t)
+"""
+
 OP8_SQL = """
 WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (
@@ -87,4 +132,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_poisson_mixing": OP8_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op8_poisson_mixing": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
