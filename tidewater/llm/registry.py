@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +63,45 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+OP5_SQL = """
+WITH parts AS (
+  SELECT item_id, text, list_filter(regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]+|\\n|$)'), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')) AS f FROM benchmark
+),
+cut AS (
+  SELECT item_id, text, CASE WHEN len(f) > 1 THEN array_to_string(f[:-2], ' ') ELSE text END AS question, CASE WHEN len(f) > 1 THEN f[-1] ELSE text END AS answer FROM parts
+),
+worded AS (SELECT item_id, WORDS(text) AS w, WORDS(question) AS q, WORDS(answer) AS a FROM cut),
+items AS (SELECT * FROM worded WHERE len(w) > 0),
+size AS (SELECT count(*) AS n, avg(len(w)) AS mean, greatest(64, 2 * max(len(w))) // 2 AS half FROM items),
+terms AS (SELECT item_id, t, count(*) AS tf FROM (SELECT item_id, unnest(w) AS t FROM items) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM terms GROUP BY t),
+weights AS (
+  SELECT item_id, t, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean)) AS x
+  FROM terms JOIN df USING (t) JOIN items USING (item_id), size
+),
+impacts AS (SELECT item_id, t, x / sum(x) OVER (PARTITION BY item_id) AS x FROM weights),
+texts AS (SELECT doc_id, WORDS(coalesce(text, '')) AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS t, (unnest(range(len(w))) // half) AS h FROM texts, size),
+passages AS (SELECT doc_id, h AS p, t FROM words UNION SELECT doc_id, h - 1, t FROM words WHERE h > 0),
+scores AS (SELECT doc_id, p, item_id, sum(x) AS score FROM passages JOIN impacts USING (t) GROUP BY ALL HAVING sum(x) >= 0.7 - 1e-9),
+best AS (SELECT doc_id, item_id, max(score) AS score FROM scores GROUP BY ALL),
+found AS (SELECT b.*, ' ' || array_to_string(d.w, ' ') || ' ' AS whole, SHINGLES(q) AS q, SHINGLES(a) AS a FROM best b JOIN texts d USING (doc_id) JOIN items USING (item_id)),
+rated AS (
+  SELECT doc_id, item_id, round(score, 6) AS score,
+    CASE WHEN len(q) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(q, lambda s: contains(whole, ' ' || s || ' ')))::DOUBLE / len(q) END AS question_overlap,
+    CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(a, lambda s: contains(whole, ' ' || s || ' ')))::DOUBLE / len(a) END AS answer_overlap
+  FROM found
+)
+SELECT * FROM rated WHERE question_overlap >= 0.8 AND answer_overlap >= 0.8
+"""
+OP5_SQL = re.sub(r"WORDS\((.*?)\) AS", r"regexp_extract_all(lower(\1), '[0-9a-z_\\x{80}-\\x{10FFFF}]+') AS", OP5_SQL)
+OP5_SQL = re.sub(
+    r"SHINGLES\((.)\)", r"list_distinct(list_transform(range(1, len(\1) - least(5, len(\1)) + 2), lambda i: array_to_string(\1[i:i + least(5, len(\1)) - 1], ' ')))", OP5_SQL
+)
 
 
 def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,4 +171,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op8_poisson_mixing": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+    return {"op5_benchmark_decontamination": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_poisson_mixing": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
