@@ -53,6 +53,7 @@ def test_sentences_keep_the_text():
     for t in corpus(3):
         if t:
             assert "".join(substrings.sentences(t)) == t
+            assert len(substrings.sentences(t)) == len(substrings.sentences(t.lower()))
     assert max(len(x.split()) for x in substrings.sentences("w " * 100)) == substrings.MAX_WORDS
 
 

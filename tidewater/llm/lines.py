@@ -49,7 +49,9 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = packed(docs).withColumn("row", row_hash(F.col("doc.doc_id"), F.col("doc.text")))
     filled = rows.select(F.col("doc.doc_id").alias("doc_id"), "row", _filled(F.col("doc.text")).alias("filled"))
     found = filled.select("doc_id", "row", _windows(F.col("filled"), window).alias("spans"))
-    later = later_occurrences(found).select(F.struct("doc_id", "row", "covered").alias("l"))
+    # not explode(): the filter that the optimizer derives from it would evaluate the spans once more for each of their references
+    each = found.select("doc_id", "row", F.explode_outer("spans").alias("x")).where("x is not null").select("doc_id", "row", "x.s", "x.e", "x.h1", "x.h2")
+    later = later_occurrences(each).select(F.struct("doc_id", "row", "covered").alias("l"))
     joined = rows.join(later, (F.col("row") == F.col("l.row")) & F.col("doc.doc_id").eqNullSafe(F.col("l.doc_id")), "left")
     ranged = joined.select("doc", merged(F.col("l.covered")).alias("removed"), _lines(F.col("doc.text")).alias("lines"))
     text = F.when(F.size("removed") > 0, F.array_join(kept_units(F.col("lines"), F.col("removed")), "")).otherwise(F.col("doc.text"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from tidewater.llm.common import materialize
+
 #: The order of occurrences in one number: doc_id, then 28 bits of the row's hash, then 32 bits of position.
 _ROW_BITS, _POS_BITS = 28, 32
-SPAN = "array<struct<s:int,e:int,h1:bigint,h2:bigint>>"
 
 
 def row_hash(doc_id: Column, text: Column) -> Column:
@@ -23,18 +24,17 @@ def _order(doc_id: Column, row: Column, pos: Column) -> Column:
     ).cast(wide)
 
 
-def later_occurrences(spans: DataFrame) -> DataFrame:
+def later_occurrences(each: DataFrame) -> DataFrame:
     """(doc_id, row, covered): for each document that has any, the [s, e] unit ranges of its non-first repeated spans.
 
-    spans: doc_id, row, spans (array of s, e, h1, h2). The first occurrence of a span is the one of the smallest
+    each: doc_id, row, s, e, h1, h2, a row for each span. The first occurrence of a span is the one of the smallest
     doc_id (null before all), then position. Counting is pre-aggregated by 128 bits of hash before the shuffle; the
-    join back is an ordinary shuffled join whose hot keys the adaptive planner can split, because the repeated side
-    has one row for each span.
+    repeated spans are then a table, so the join back starts from plain shuffles on both sides, and the adaptive
+    planner can split a hot span's rows, of which the other side has one.
     """
-    # not explode(): the filter that the optimizer derives from it would evaluate the spans once more for each of their references
-    each = spans.select("doc_id", "row", F.explode_outer("spans").alias("x")).where("x is not null").select("doc_id", "row", "x.s", "x.e", "x.h1", "x.h2")
     order = _order(F.col("doc_id"), F.col("row"), F.col("s"))
     firsts = each.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1").select("h1", "h2", "first")
+    firsts = materialize(firsts, "repeated-spans")
     later = each.join(firsts, ["h1", "h2"]).where(order != F.col("first"))
     return later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("s", "e")).alias("covered"))
 

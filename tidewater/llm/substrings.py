@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import packed, unpacked
-from tidewater.llm.spans import SPAN, later_occurrences, merged, range_units, row_hash
+from tidewater.llm.spans import later_occurrences, merged, range_units, row_hash
 
 #: Consecutive sentences of a span at least, and words; a run of short sentences goes on until it has both.
 RUN, MIN_WORDS = 3, 20
@@ -49,36 +49,42 @@ def _mixed(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(31))
 
 
-def spans_of(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> list[dict]:
-    """s, e, h1, h2 of the shortest runs of enough filled sentences and words from each sentence on and up to each; words are compared without case."""
-    units = [(i, w) for i, w in enumerate(map(str.split, map(str.lower, sentences(text)))) if w]
+def spans_of(text: str, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """s, e and two hashes of the shortest runs of enough filled sentences and words from each sentence on and up to each.
+
+    Words are compared without case, which neither ends nor joins sentences.
+    """
+    units = list(map(str.split, sentences(text.lower())))
+    at = np.array([i for i, w in enumerate(units) if w], dtype=np.int32)
+    units = [w for w in units if w]
     n = len(units)
     if n < run:
-        return []
-    total = np.concatenate([[0], np.cumsum([len(w) for _, w in units])])
+        return at[:0], at[:0], np.zeros((0, 2), dtype=np.int64)
+    total = np.concatenate([[0], np.cumsum([len(w) for w in units])])
     place = np.arange(n)
     ends = np.maximum(np.searchsorted(total, total[:-1] + min_words), place + run)  # of the run from here on
     starts = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, place + 1 - run)  # of the run up to here
     ahead, back = ends <= n, (starts >= 0) & (place + 1 - starts > run)
     first, last = np.concatenate([place[ahead], starts[back]]), np.concatenate([ends[ahead], place[back] + 1])
-    if not len(first):
-        return []
-    first, last = np.unique(np.stack([first, last]), axis=1) if back.any() else (first, last)
-    digests = np.array([divmod(xxhash.xxh3_128_intdigest(" ".join(w)), 1 << 64) for _, w in units], dtype=np.uint64)
+    if back.any():
+        first, last = np.divmod(np.unique(first * (n + 1) + last), n + 1)
+    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(" ".join(w)) for w in units]), dtype=">u8").astype(np.uint64).reshape(-1, 2)
     h = np.zeros((len(first), 2), dtype=np.uint64)
-    for j in range(int((last - first).max())):
+    for j in range(int((last - first).max(initial=0))):
         more = np.flatnonzero(first + j < last)
         h[more] = _mixed(h[more] + digests[first[more] + j] + np.uint64(0x9E3779B97F4A7C15))
-    h = h.view(np.int64)
-    return [{"s": units[i][0], "e": units[k - 1][0], "h1": x, "h2": y} for i, k, (x, y) in zip(first.tolist(), last.tolist(), h.tolist(), strict=True)]
+    return at[first], at[last - 1], h.view(np.int64)
 
 
 def _span_batches(run: int, min_words: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [spans_of(t, run, min_words) for t in b["text"]]
-            out = pd.DataFrame({"doc_id": b["doc_id"], "row": b["row"], "spans": found})
-            yield out[[bool(x) for x in found]]
+            counts = [len(x[0]) for x in found]
+            if sum(counts):
+                s, e, h = (np.concatenate([x[k] for x in found]) for k in range(3))
+                known = b["doc_id"].repeat(counts).reset_index(drop=True)
+                yield pd.DataFrame({"doc_id": known, "row": np.repeat(b["row"].to_numpy(), counts), "s": s, "e": e, "h1": h[:, 0], "h2": h[:, 1]})
 
     return of
 
@@ -109,9 +115,10 @@ def dedup_substrings(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS
     """
     columns = docs.columns
     rows = packed(docs).withColumn("row", row_hash(F.col("doc.doc_id"), F.col("doc.text")))
-    texts = rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "row", F.col("doc.text").alias("text")).where("text is not null")
-    found = texts.mapInPandas(_span_batches(run, min_words), f"doc_id bigint, row bigint, spans {SPAN}")
-    later = later_occurrences(found).select(F.struct("doc_id", "row", "covered").alias("l"))
+    texts = rows.select(F.col("doc.doc_id").cast("string").alias("doc_id"), "row", F.col("doc.text").alias("text")).where("text is not null")
+    found = texts.mapInPandas(_span_batches(run, min_words), "doc_id string, row bigint, s int, e int, h1 bigint, h2 bigint")
+    # Arrow would give a nullable id as a float
+    later = later_occurrences(found.withColumn("doc_id", F.col("doc_id").cast("long"))).select(F.struct("doc_id", "row", "covered").alias("l"))
     joined = rows.join(later, (F.col("row") == F.col("l.row")) & F.col("doc.doc_id").eqNullSafe(F.col("l.doc_id")), "left")
     ranged = joined.select("doc", merged(F.col("l.covered")).alias("removed"))
     without = F.pandas_udf(_without, "struct<text:string,n_sentences:int>")
