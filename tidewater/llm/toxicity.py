@@ -31,7 +31,7 @@ BLOCK = 32
 BROADCAST_GRAMS = 4_000_000
 #: Up to so many labels (16 bytes each) are broadcast to the documents; beyond, both meet in a shuffled join.
 BROADCAST_LABELS = 500_000
-#: The logistic curve has five parameters and is fitted on so many labelled rows at most, those of the smallest hash.
+#: The logistic curve has five parameters and is fitted on about so many labelled rows at most, chosen by the hash of their id.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 #: Texts are worked off in pieces of about so many bytes, whatever the size of a batch.
@@ -277,7 +277,8 @@ def train(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_G
     if shares in (0.0, 1.0):
         return float(shares)
     grams, contexts = (materialize(t, "toxicity-model") for t in gram_tables(rows([0, 1]).select("text", "label")))
-    held = rows([3]).select("label", "text", F.xxhash64("doc_id").alias("key")).orderBy("key").limit(CALIBRATION_ROWS)
+    share = CALIBRATION_ROWS / max(CALIBRATION_ROWS, marks.where(fold(F.col("doc_id")) == 3).count())
+    held = rows([3]).select("label", "text", F.xxhash64("doc_id").alias("key")).where(F.pmod("key", F.lit(1 << 20)) < F.lit(share * (1 << 20)))
     small = grams.count() <= broadcast_grams
     if small:
         grams, contexts = (spark.sparkContext.broadcast(_lookup(t)) for t in (grams, contexts))
