@@ -21,7 +21,7 @@ THRESHOLD = 0.8
 RECALL = 0.99999
 ROWS = 5
 #: Sets that one verification block holds, and shingles in it.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 128, 1_000_000
 #: Up to so many large components (their size classes take some 100 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_LARGE = 20_000
 #: Up to so many representatives (24 bytes each) are broadcast to fetch their texts; beyond, texts are fetched by shuffle.
