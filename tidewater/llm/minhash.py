@@ -220,6 +220,8 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     tops = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("top"))
     classes = placed.join(tops, "root").join(links, "set", "left")
     classes = classes.select("set", F.col("top.doc_id").alias("class_id"), F.col("top.row").alias("class_row"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
+    # as a table, so that the join starts from plain shuffles and the rows of a set of many copies can be split
+    classes = materialize(classes, "set-classes")
     empty = F.col("n") == 0
     return signed.join(classes, "set").select("doc_id", "row", "class_id", "class_row", F.when(empty, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"))
 
