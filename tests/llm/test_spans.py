@@ -82,3 +82,21 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
         got = dedup(spark.createDataFrame([(1, block), (1, block), (2, block), (None, "other\n" + block)], "doc_id long, text string")).collect()
         assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in got) == [(-1, 0), (1, 3), (1, 3), (2, 3)]
         assert dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_passages_after_leads_of_any_length(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    lead = lambda n: "".join(word() + " " for _ in range(n))
+    passages = [[word() for _ in range(80)] for _ in range(20)] + [["ever", "and", "again"] * 30]
+    texts = [(100 * p + n, lead(n) + " ".join(x) + " " + lead(7)) for p, x in enumerate(passages) for n in (1, 2, 5, 11, 16, 23)]
+    tabbed = [(9000 + n, (lead(n) + " ".join(passages[0])).replace(" ", "\t").upper()) for n in (3, 4)]
+    got = substrings.dedup_substrings(spark.createDataFrame(texts + tabbed, "doc_id long, text string")).collect()
+    for row in got:
+        if row["doc_id"] % 100 != 1 or row["doc_id"] >= 9000:
+            assert len(row["text"].split()) <= len(dict(texts + tabbed)[row["doc_id"]].split()) - 50, row["doc_id"]
+        elif row["doc_id"] < 2000:  # the last passage repeats itself
+            assert row["n_removed"] == 0
+    for text in (lead(200), "Ab " * 100, " x\ty" * 90 + "."):
+        units = substrings.sentences(text)
+        assert "".join(units) == text and max(len(x.split()) for x in units) <= substrings.MAX_WORDS

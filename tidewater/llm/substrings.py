@@ -16,30 +16,64 @@ from tidewater.llm.spans import later_occurrences, merged, range_units, row_hash
 
 #: Consecutive sentences of a span at least, and words; a run of short sentences goes on until it has both.
 RUN, MIN_WORDS = 3, 20
-#: A longer sentence counts as several, so that a long passage always has spans.
+#: A longer sentence counts as several, cut by its words and not by its start, so that long passages in it have spans.
 MAX_WORDS = 16
 
 _SENTENCE = re.compile(r"(?:[^.!?\n]++|[.!?]++(?!\s))*+(?:[.!?]++|\n|$)\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
+class _Hashes(dict):
+    """Hashes of words; those of short words are remembered, up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) < 40:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _ends(words: list[str]) -> list[int]:
+    """Where the parts of a long sentence end: after each word whose hash is the lowest of five words with it in the
+    middle, wherever the sentence begins; where these are over MAX_WORDS apart, after the last lowest word so far."""
+    h = list(map(_hashes.__getitem__, words))
+    out, at = [], 0
+    found = [i for i, (a, b, c, d, e) in enumerate(zip(h, h[1:], h[2:], h[3:], h[4:]), 3) if a > c < b and c <= d and c <= e]
+    for i in [*found, len(h)]:
+        while i - at > MAX_WORDS:
+            near = h[at : at + MAX_WORDS][::-1]
+            at += MAX_WORDS - near.index(min(near))
+            out.append(at)
+        out.append(i)
+        at = i
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """The sentences with the white space after them; together they are the text. They end at . ! or ? before white
-    space, at line feeds, and after MAX_WORDS words."""
+    space and at line feeds; those of over MAX_WORDS words come in parts of MAX_WORDS at most."""
     out = []
     for line in text.splitlines(keepends=True):
         for m in _SENTENCE.finditer(line):
             s = m[0]
             if not s:
                 continue
-            if s.count(" ") < MAX_WORDS:
+            if len(s) <= 2 * MAX_WORDS or len(s.split(None, MAX_WORDS)) <= MAX_WORDS:
                 out.append(s)
                 continue
             words = _WORD.findall(s)
             lead = len(s) - sum(map(len, words))
-            if lead and words:
+            if lead:
                 words[0] = s[:lead] + words[0]
-            out += ["".join(words[i : i + MAX_WORDS]) for i in range(0, len(words), MAX_WORDS)] if words else [s]
+            at = 0
+            for end in _ends(s.lower().split()):
+                out.append("".join(words[at:end]))
+                at = end
     return out
 
 
