@@ -98,3 +98,16 @@ def test_edges(spark):
     assert d.leaks(docs, tests.where("false")).count() == 0
     assert d.without_leaks(docs, tests.where("false")).count() == 6
     assert d.leaks(docs.where("false"), tests).count() == 0
+
+
+def test_parts_of_a_benchmark_give_what_the_whole_gives(spark, monkeypatch):
+    items, docs = corpus()
+    docs += [(1000 + i, "zzz " + t.split(" ", 1)[1]) for i, t in items if " " in t]  # parts of items, scored by statistics
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame([*items, (900, None), (901, ""), (902, "...")], "item_id long, text string")
+    found = lambda: {(r["doc_id"], r["item_id"]): r["score"] for r in d.leaks(frame, tests).collect()}
+    whole = found()
+    monkeypatch.setattr(d, "INDEX_ITEMS", 60)
+    parts = found()
+    assert set(parts) == set(whole) == brute(items, docs) and min(whole.values()) < 0.9
+    assert all(abs(parts[k] - whole[k]) < 1e-9 for k in whole)

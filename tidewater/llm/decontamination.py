@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import materialize, release
 from tidewater.llm.shingles import WORDS, word_hashes
 
 K1, B = 1.2, 0.75
@@ -59,30 +61,44 @@ class Index:
     passage: int
 
 
-def build_index(items: list[tuple[int, str]]) -> Index | None:
-    """None if no item has words. Items without words are not in it: they have nothing to be found by."""
+@dataclass
+class Statistics:
+    """Of all items with words: how many, their words on average and at most, and of each term needed its items."""
+
+    n: int
+    average: float
+    longest: int
+    frequency: dict[int, int]
+
+
+def build_index(items: list[tuple[int, str]], whole: Statistics | None = None) -> Index | None:
+    """None if no item has words. Items without words are not in it: they have nothing to be found by.
+
+    whole: the statistics of the whole benchmark, where items are a part of it.
+    """
     filled = [(i, t, h) for i, t in items if t and len(h := _hashes(t))]
     if not filled:
         return None
     lengths = [len(h) for *_, h in filled]
-    average = sum(lengths) / len(lengths)
     counts = [Counter(h.tolist()) for *_, h in filled]
-    frequency = Counter(t for c in counts for t in c)
-    terms = np.array(sorted(frequency), dtype=np.uint64)
+    if whole is None:
+        whole = Statistics(len(filled), sum(lengths) / len(lengths), max(lengths), Counter(t for c in counts for t in c))
+    frequency, average = whole.frequency, whole.average
+    terms = np.array(sorted({t for c in counts for t in c}), dtype=np.uint64)
     number = {t: k for k, t in enumerate(terms.tolist())}
     lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
     for k, (c, n) in enumerate(zip(counts, lengths, strict=True)):
-        w = {t: np.log1p((len(filled) - frequency[t] + 0.5) / (frequency[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / average)) for t, f in c.items()}
-        whole = sum(w.values())
+        w = {t: np.log1p((whole.n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / average)) for t, f in c.items()}
+        mass = sum(w.values())
         for t, x in w.items():
-            lists[number[t]].append((k, x / whole))
+            lists[number[t]].append((k, x / mass))
     postings = [(np.array([k for k, _ in lists[t]]), np.array([x for _, x in lists[t]])) for t in range(len(terms))]
     size = -(-len(filled) // BLOCKS)
     block_max = np.zeros((len(terms), -(-len(filled) // size)), dtype=np.float32)
     for t, (k, x) in enumerate(postings):
         np.maximum.at(block_max[t], k // size, x.astype(np.float32))
     parts = [tuple(map(_hashes, parts_of(t))) for _, t, _ in filled]
-    return Index([i for i, *_ in filled], parts, terms, postings, block_max, block_max.max(axis=1), size, max(LEAST_PASSAGE, 2 * max(lengths)))
+    return Index([i for i, *_ in filled], parts, terms, postings, block_max, block_max.max(axis=1), size, max(LEAST_PASSAGE, 2 * whole.longest))
 
 
 def block_max_wand(index: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -197,23 +213,50 @@ def find_items(texts: list[str], index: Index, retrieve: float = RETRIEVE, overl
 KIND = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
 
+def _item_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        hashes = [_hashes(t) for t in b["text"]]
+        # a row without a term holds the item's length
+        terms = [[None, *np.unique(h).view(np.int64).tolist()] if len(h) else [] for h in hashes]
+        lengths = [x for h, t in zip(hashes, terms, strict=True) if t for x in [len(h)] + [None] * (len(t) - 1)]
+        yield pd.DataFrame({"part": b["part"].repeat([len(t) for t in terms]).to_numpy(), "t": pd.array([x for t in terms for x in t], dtype="Int64"), "length": pd.array(lengths, dtype="Int64")})
+
+
+def _statistics(items: DataFrame) -> tuple[tuple[int, float, int], DataFrame]:
+    """n, average and greatest length of all items with words; and (part, t, df), the items of each term of each part."""
+    each = materialize(items.select("part", "text").mapInPandas(_item_terms, "part int, t bigint, length bigint"), "benchmark-terms")
+    n, words, longest = each.agg(F.count("length"), F.sum("length"), F.max("length")).first()
+    counted = each.where("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("df"), F.collect_set("part").alias("parts"))
+    frequencies = materialize(counted.select(F.explode("parts").alias("part"), "t", "df"), "benchmark-frequencies")
+    release(each)
+    return (n, words / n if n else 0.0, longest or 0), frequencies
+
+
 def leaks_column(docs: DataFrame, benchmark: DataFrame, text: Column) -> Column:
     """A column of the items that a text leaks.
 
-    The benchmark comes to the driver in parts of bounded size, one index each; null texts and ids are left out.
+    The benchmark comes to the driver in parts of bounded size, one index each, with the statistics of the whole; null
+    texts and ids are left out.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     n, chars = items.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     shards = max(1, -(-n // (INDEX_ITEMS // 2)), -(-(chars or 0) // (INDEX_CHARS // 2))) if n > INDEX_ITEMS or (chars or 0) > INDEX_CHARS else 1
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    sizes, frequencies = _statistics(items) if shards > 1 else (None, None)
     found = []
     for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
-        index = build_index([tuple(r) for r in part])
+        part = items.where(F.col("part") == k).orderBy("item_id", "text").select("item_id", "text").collect()
+        whole = None
+        if frequencies is not None:
+            rows = frequencies.where(F.col("part") == k).select("t", "df").toPandas()
+            whole = Statistics(*sizes, dict(zip(rows["t"].to_numpy(np.int64).view(np.uint64).tolist(), rows["df"].tolist(), strict=True)))
+        index = build_index([tuple(r) for r in part], whole)
         if index is None:
             continue
         sent = spark.sparkContext.broadcast(index)
         found.append(F.pandas_udf(lambda texts, sent=sent: pd.Series(find_items(texts.fillna("").tolist(), sent.value)), KIND)(text))
+    release(frequencies)
     return F.concat(*found) if found else F.array().cast(KIND)
 
 
