@@ -58,3 +58,16 @@ def test_scan(spark, parts):
     assert secrets.scan(df.where("false"), parts[0]).count() == 0
     plan = found._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_windows_are_the_texts_own_and_names_are_split_off(spark, parts):
+    key = "3f2a9c81d7b64e05a1c8f97723bd6e4410ac5f98"
+    made = [f'set aws_secret_access_key = "{key}" here', f"é GITHUB_TOKEN={key}\n", f"api_key={key}", f'x github_access_token: "{key}"', f"a {key}== {key}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*made, *texts()])], "doc_id long, text string")
+    found = [r.asDict() for r in secrets.parted(secrets.candidates(df)).collect()]
+    for r in found:
+        t, s, e = r["doc"]["text"], r["start"], r["start"] + len(r["run"])
+        assert (r["run"], r["before"], r["after"]) == (t[s:e], t[max(0, s - 48) : s], t[e : e + 24])
+    assert {r["doc"]["doc_id"] for r in found if r["run"] == key} == {0, 1, 2, 3, 4}
+    said = secrets.scan(df.where("doc_id < 4"), parts[0]).collect()
+    assert sorted((r["doc_id"], r["start"], r["secret"]) for r in said) == [(i, made[i].index(key), key) for i in range(4)]

@@ -12,6 +12,8 @@ from tidewater.llm.common import packed, unpacked
 
 #: Runs that may be secrets.
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
+#: Where a run is parted: after the = of a name, if a candidate's length follows.
+ASSIGNMENT = "(?<==)(?=[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{15})"
 #: Code points kept from before and after a candidate.
 BEFORE, AFTER = 48, 24
 #: A bound for the labelled findings that a forest is fitted on; larger sets are cut to those of the smallest hash.
@@ -56,21 +58,47 @@ def _offsets(pieces: Column, found: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc (the whole row), start, run, before, after of every candidate of every text; start counts code points from 0."""
+    """doc (the whole row), start, run, before, after, left, right of every candidate of every text; start counts code points from 0.
+
+    before and after end at the neighbouring candidates; left and right are the text's own, with earlier and later runs.
+    """
     rows = packed(docs).where(F.col("doc.text").rlike(CANDIDATE))
     text = F.col("doc.text")
     cut = rows.select("doc", F.split(text, CANDIDATE, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
     # a column for each step: a lambda evaluates what it refers to each time it is called
     cut = cut.withColumn("offsets", _offsets(F.col("pieces"), F.col("found")))
+    # a run has 16 code points at least, so three to the left and two to the right fill the windows
+    last, first = F.lit(BEFORE), F.lit(AFTER)
+    cut = cut.withColumn("tails", F.transform("found", lambda run, i: F.concat(F.right(F.element_at("pieces", i + 1), last), F.right(run, last))))
+    cut = cut.withColumn("heads", F.transform("found", lambda run, i: F.concat(F.left(run, first), F.left(F.element_at("pieces", i + 2), first))))
+    left = lambda i: F.right(F.concat(F.array_join(F.slice("tails", F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), ""), F.right(F.element_at("pieces", i + 1), last)), last)
+    right = lambda i: F.left(F.concat(F.left(F.element_at("pieces", i + 2), first), F.array_join(F.slice("heads", i + 2, F.lit(2)), "")), first)
     near = F.transform(
         F.col("found"),
         lambda run, i: F.struct(
             (F.element_at("offsets", i + 1) + F.length(F.element_at("pieces", i + 1))).alias("start"), run.alias("run"),
             F.right(F.element_at("pieces", i + 1), F.lit(BEFORE)).alias("before"), F.left(F.element_at("pieces", i + 2), F.lit(AFTER)).alias("after"),
+            left(i).alias("left"), right(i).alias("right"),
         ),
     )
     each = cut.select("doc", near.alias("near")).select("doc", F.explode_outer("near").alias("x")).where("x is not null")
-    return each.select("doc", "x.start", "x.run", "x.before", "x.after")
+    return each.select("doc", "x.start", "x.run", "x.before", "x.after", "x.left", "x.right")
+
+
+def parted(found: DataFrame) -> DataFrame:
+    """doc, start, run, before, after of the candidates with the names before their = split off; before and after are the text's own.
+
+    A name long enough to be a candidate is one for itself, without its =.
+    """
+    rows = found.withColumn("parts", F.split("run", ASSIGNMENT, -1))
+    offset = lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    own = lambda x, i: F.when(i < F.size("parts") - 1, F.regexp_replace(x, "=+$", "")).otherwise(x)
+    cut = rows.withColumn("parts", F.transform("parts", lambda x, i: F.struct(own(x, i).alias("run"), offset(i).alias("at"))))
+    each = cut.withColumn("x", F.explode(F.filter("parts", lambda x: F.length(x["run"]) >= 16)))
+    end = F.col("x.at") + F.length("x.run")
+    before = F.right(F.concat("left", F.substr("run", F.lit(1), F.col("x.at"))), F.lit(BEFORE))
+    after = F.left(F.concat(F.substr("run", end + 1, F.lit(AFTER)), F.col("right")), F.lit(AFTER))
+    return each.select("doc", (F.col("start") + F.col("x.at")).alias("start"), "x.run", before.alias("before"), after.alias("after"))
 
 
 def features(run: Column, before: Column, after: Column, place: Column) -> dict[str, Column]:
@@ -158,7 +186,10 @@ def labelled_findings(spark: SparkSession, rows: int = 8_000) -> DataFrame:
     made = spark.range(0, rows, 1, 4).select("id", label.alias("label"), F.when(label == 1, chosen(secret, 0)).otherwise(chosen(other, 1)).alias("x"))
     after = pick("t", '" ', '"', " ", "'\n", "; ", ", ", ".", '"###')
     place = F.when(label == 0, pick("f", "src1", "src2", "tests/unit", "docs", "web", "src3")).otherwise(pick("f", "src1", "src2", "src3", "web", "app/config", "tests/unit"))
-    return made.select(F.col("x.run").alias("run"), F.right("x.before", F.lit(BEFORE)).alias("before"), after.alias("after"), place.alias("place"), "label").where(F.col("run").rlike(f"^{CANDIDATE}$"))
+    texts = made.select(F.concat("x.before", "x.run", after).alias("text"), F.length("x.before").alias("at"), F.length("x.run").alias("n"), place.alias("place"), "label")
+    # what stands beside a secret, as its name, is none
+    secret_here = (F.col("doc.label") == 1) & (F.col("start") < F.col("doc.at") + F.col("doc.n")) & (F.col("start") + F.length("run") > F.col("doc.at"))
+    return parted(candidates(texts)).select("run", "before", "after", "doc.place", secret_here.cast("int").alias("label"))
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
@@ -187,5 +218,5 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     """
     model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
     place = F.col("doc.source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rated = rate(candidates(docs).withColumn("place", place), model).where(F.col("score") >= threshold)
+    rated = rate(parted(candidates(docs)).withColumn("place", place), model).where(F.col("score") >= threshold)
     return unpacked(rated, [c for c in docs.columns if c != "text"], start=F.col("start"), secret=F.col("run"), score=F.col("score"))
