@@ -2,7 +2,10 @@
 
 import random
 
-from tidewater.llm import lines, substrings
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.llm import lines, spans, substrings
 
 SCHEMA = "doc_id long, text string, lang string, row int, covered string, n_chars long"
 
@@ -72,8 +75,33 @@ def test_lines_against_brute_force(spark):
     check(spark, lines.dedup_lines, lambda t: t.splitlines(keepends=True) if t else [], line_runs)
 
 
-def test_substrings_against_brute_force(spark):
-    check(spark, lambda df: substrings.dedup_substrings(df, min_words=10), substrings.sentences, sentence_runs)
+@pytest.mark.parametrize("held", [1, 40, substrings.HELD])
+def test_substrings_against_brute_force(spark, held):
+    check(spark, lambda df: substrings.dedup_substrings(df, min_words=10, held_spans=held), substrings.sentences, sentence_runs)
+
+
+def test_scripts_without_blanks(spark):
+    r = random.Random(4)
+    letters = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = "".join(letters(r.randint(3, 30)) + r.choice("。！？") for _ in range(40))
+    unstopped = letters(200)
+    texts = [(1, "甲。" + passage + letters(9)), (2, letters(5) + "。" + passage), (3, letters(300)), (4, letters(2) + unstopped), (5, letters(7) + unstopped + "です")]
+    got = {x["doc_id"]: x for x in substrings.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[k]["n_removed"] > 0 for k in (1, 2, 3, 4, 5)] == [False, True, False, False, True]
+    assert len(got[2]["text"]) <= 6 and len(got[5]["text"]) < 60
+    assert all("".join(substrings.sentences(t)) == t for _, t in texts)
+    assert len(substrings.sentences(passage)) >= 40 and substrings.sentences("यह एक है। वह दो है।") == ["यह एक है। ", "वह दो है।"]
+
+
+def test_many_ranges_of_one_document(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(59_999)), lambda i: F.struct((i * 4 - i % 2 * 2).alias("s"), (i * 4 - i % 2 * 2 + 1).alias("e"))).alias("c"))
+    want = []
+    for s in sorted(i * 4 - i % 2 * 2 for i in range(60_000)):
+        want = [*want[:-1], [want[-1][0], s + 1]] if want and s <= want[-1][1] + 1 else want + [[s, s + 1]] if len(want) < 50 else want
+        if len(want) == 50:
+            break
+    got = df.select(spans.merged(F.col("c")).alias("m"), spans.merged(F.lit(None).cast("array<struct<s:int,e:int>>")).alias("none")).first()
+    assert [[x["s"], x["e"]] for x in got["m"][:49]] == want[:49] and len(got["m"]) == 30_000 and got["none"] == []
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):

@@ -22,7 +22,8 @@ def mixed(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(31))
 
 
-def _powers_to(n: int) -> list[np.ndarray]:
+def powers_to(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2 ** 64, 0 to n - 1 at least."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
             a = np.full(1 << int(n).bit_length(), base, dtype=np.uint64)
@@ -37,7 +38,7 @@ def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = _WORD[flat]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     begins, ends = edges[0::2], edges[1::2]
-    power, inverse = _powers_to(len(flat) + 1)
+    power, inverse = powers_to(len(flat) + 1)
     sums = np.zeros(len(flat) + 1, dtype=np.uint64)
     np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[: len(flat)], out=sums[1:])
     hashes = mixed((sums[ends] - sums[begins]) * inverse[begins])

@@ -40,15 +40,17 @@ def later_occurrences(each: DataFrame) -> DataFrame:
 
 
 def merged(covered: Column) -> Column:
-    """Sorted, disjoint unit ranges [s, e] from overlapping ones; null and empty give none."""
+    """Sorted, disjoint unit ranges [s, e] from overlapping ones; null and empty give none. Work grows with the units covered."""
     kind = "array<struct<s:int,e:int>>"
+    units = F.sort_array(F.array_distinct(F.flatten(F.transform(F.coalesce(covered, F.array().cast(kind)), lambda x: F.sequence(x["s"], x["e"])))))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"] - 1), joined).otherwise(F.concat(acc, F.array(x)))
+    def ranges(u: Column) -> Column:
+        starts = F.filter(u, lambda x, i: (i == 0) | (x > F.get(u, i - 1) + 1))
+        ends = F.filter(u, lambda x, i: (i == F.size(u) - 1) | (F.get(u, i + 1) > x + 1))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
 
-    return F.aggregate(F.array_sort(F.coalesce(covered, F.array().cast(kind))), F.array().cast(kind), step)
+    # as a lambda's argument the units are made once
+    return F.element_at(F.transform(F.array(units), ranges), 1)
 
 
 def kept_units(units: Column, ranges: Column) -> Column:
