@@ -11,6 +11,7 @@ from tidewater.operators import changes, deadletter, export, monitoring, reconci
 from tidewater.sources import readers
 from tidewater.sources.keyvalue import KeyValueSource
 
+#: Characters that must come through unchanged.
 ODD = ["'", '"', "\n", "\r", "\t", "\\", "%", "_", "한글", "🌟", "∑", "≠", "±"]
 KEY = bytes(range(32))
 
@@ -22,7 +23,7 @@ def odd_rows(spark):
 
 def test_masks_and_ciphers(spark):
     df = odd_rows(spark)
-    hidden = {r["id"]: r for r in pii.protect(df, [PiiRule("s", "masked"), PiiRule("n", "masked"), PiiRule("gone", "masked")]).collect()}
+    hidden = {r["id"]: r for r in pii.protect(df, [PiiRule("s", "masked"), PiiRule("n", "masked"), PiiRule("gone", "masked")], lacking="ignore").collect()}
     for r in df.collect():
         assert hidden[r["id"]]["s"] == ("****" if r["s"] is None else "*" * len(r["s"].encode())) and hidden[r["id"]]["n"] == "****"
     sealed = pii.protect(df, [PiiRule("s", "encrypted")], KEY)
@@ -36,9 +37,28 @@ def test_masks_and_ciphers(spark):
 
 def test_nested_fields(spark):
     df = spark.createDataFrame([(1, (("deep", 5), "x"), {"k": "v", "o": "w"}), (2, None, None)], "id int, a struct<b:struct<c:string,d:int>,e:string>, m map<string,string>")
-    got = pii.protect(df, [PiiRule("a.b.c", "masked"), PiiRule("a.b.d", "masked"), PiiRule("a", "masked"), PiiRule("m.k", "masked"), PiiRule("a.none", "masked")]).collect()
+    got = pii.protect(df, [PiiRule("a.b.c", "masked"), PiiRule("a.b.d", "masked"), PiiRule("a", "masked"), PiiRule("m.k", "masked")]).collect()
     assert got[0]["a"]["b"] == ("****", "****") and got[0]["a"]["e"] == "x" and got[0]["m"] == {"k": "*", "o": "w"}
     assert got[1]["a"] is None
+    for misspelt in ("a.none", "a.b.none", "mial", "m.k.deeper", "id.x"):
+        with pytest.raises(ValueError, match="no field"):
+            pii.protect(df, [PiiRule("a.e", "masked"), PiiRule(misspelt, "masked")])
+        (row, _) = pii.protect(df, [PiiRule("a.e", "masked"), PiiRule(misspelt, "masked")], lacking="ignore").collect()
+        assert row["a"]["e"] == "*" and row["a"]["b"] == ("deep", 5)
+
+
+def test_fields_in_arrays_and_maps(spark):
+    kind = "items array<struct<email:string,n:int>>, m map<string,struct<e:string,f:string>>, tags array<string>, deep array<array<struct<x:string>>>, c map<string,int>, l map<string,array<struct<p:string>>>"
+    row = ([("a@b", 1), (None, 2), None], {"p": ("secret", "open"), "q": ("secret", "open"), "r": None}, ["xy", None], [[("abc",)], None, []], {"k": 5, "o": 6}, {"k": [("pp",)]})
+    rules = [PiiRule(f, "masked") for f in ("items.email", "m.p.e", "tags", "deep.x", "c.k", "l.k.p")]
+    got = pii.protect(spark.createDataFrame([row, (None,) * 6], kind), rules).collect()
+    one = got[0].asDict(recursive=True)
+    assert [x and (x["email"], x["n"]) for x in one["items"]] == [("***", 1), ("****", 2), None]
+    assert one["m"] == {"p": {"e": "******", "f": "open"}, "q": {"e": "secret", "f": "open"}, "r": None}
+    assert one["tags"] == ["**", "****"] and one["deep"] == [[{"x": "***"}], None, []] and one["c"] == {"k": "****", "o": "6"} and one["l"] == {"k": [{"p": "**"}]}
+    assert all(x is None for x in got[1])
+    sealed = pii.protect(spark.createDataFrame([row], kind), [PiiRule("items.email", "encrypted")], KEY)
+    assert sealed.select(F.transform("items", lambda x: pii.decrypted(x["email"], KEY)).alias("x")).first()["x"] == ["a@b", None, None]
 
 
 def test_change_scripts(spark):
@@ -77,11 +97,10 @@ def test_dead_letters_end(spark):
     letters = deadletter.letters(df, F.lit("b"), F.lit("bad"), deadletter.serialised(F.col("op"), F.col("seq"), F.struct("v")))
     for tries in range(1, 5):
         letters = deadletter.after_retry(letters, spark.createDataFrame([("b", "0")], "batch_id string, id string"))
-        (row,) = letters.collect()
-        assert [o["retry_count"] for o in row["failed_operations"]] == [min(tries, 3)] * 3
+        assert [r["retry_count"] for r in letters.collect()] == [min(tries, 3)] * 3
     assert deadletter.eligible(letters).count() == 0
-    everything = letters.select("batch_id", F.explode("failed_operations.id").alias("id"))
-    assert deadletter.after_retry(letters, everything).count() == 0
+    assert deadletter.statistics(letters).first() == (1, 3)
+    assert deadletter.after_retry(letters, letters).count() == 0
 
 
 @pytest.mark.parametrize("kind", ["json", "csv"])
@@ -127,11 +146,47 @@ def test_ad_hoc_statements(spark):
     views = {"t": spark.range(3)}
     assert readers.ask(spark, "-- note\nSELECT count(*) AS last_update FROM t;", views).first()["last_update"] == 3
     assert readers.ask(spark, "SELECT ';drop' AS x, id FROM t", views, 2).count() == 2
-    for bad in ("DELETE FROM t", "INSERT INTO t VALUES (1)", "SELECT 1; DROP TABLE t", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "", "/* select */ DROP TABLE t"):
+    spark.range(7).createOrReplaceTempView("t")
+    assert readers.ask(spark, "SELECT * FROM t", views).count() == 3 and spark.table("t").count() == 7
+    spark.catalog.dropTempView("t")
+    assert readers.ask(spark, "WITH q AS (SELECT id FROM t) SELECT max(id) AS m, (SELECT min(id) FROM q) AS n FROM q WHERE id IN (SELECT id FROM t) GROUP BY ALL HAVING m > 0", views).first() == (2, 0)
+    assert readers.ask(spark, "SHOW TABLES").count() >= 0 and readers.ask(spark, "EXPLAIN SELECT 1").count() == 1 and readers.ask(spark, "VALUES (1), (2)").count() == 2
+    for bad in (
+        "DELETE FROM t", "INSERT INTO t VALUES (1)", "SELECT 1; DROP TABLE t", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "", "/* select */ DROP TABLE t",
+        "WITH q AS (SELECT 1 AS a) /* x */ INSERT INTO victim SELECT a FROM q", "WITH q AS (SELECT 1 AS a) -- x\n INSERT OVERWRITE victim SELECT a FROM q", "FROM t INSERT INTO u SELECT *",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.name')", "SELECT id FROM t WHERE EXISTS (SELECT `Reflect`('a', 'b') FROM t)", "WITH q AS (SELECT try_reflect('a', 'b')) SELECT * FROM q",
+        "SET a=b", "CACHE TABLE t", "CREATE TEMP VIEW v AS SELECT 1", "EXPLAIN INSERT INTO t SELECT 1", "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM t", "BEGIN SELECT 1; END", "ADD JAR 'x'", "USE x",
+    ):
         with pytest.raises(PermissionError):
             readers.ask(spark, bad, views)
 
 
+def test_jdbc_tables(spark):
+    from tidewater.sources import writers
+
+    url = {"url": "jdbc:derby:memory:tidewater;create=true"}
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(500)], "id int, name string")
+    for _ in range(2):
+        writers.append(df.repartition(6), "mysql", "people", url, 2)
+    back = readers.snapshot(spark, "mysql", "people", url)
+    assert back.count() == 1000 and {r["name"] for r in back.collect()} == {f"n{i}" for i in range(500)}
+    split = readers.snapshot(spark, "jdbc", "people", url | {"partitionColumn": "id", "lowerBound": "0", "upperBound": "500"}, ["id"])
+    assert split.rdd.getNumPartitions() == readers.PARTITIONS and split.where("id >= 490").count() == 20
+
+
+def test_export_count_and_string_conditions(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": 1}\n\n{"a": 2}\n  \n')
+    assert export.record_count(spark, str(tmp_path)) == 2
+
+
+def test_key_value_events(spark):
+    store = spark.createDataFrame([("a", "string", "1", None, 50), ("h", "hash", None, {"x": "1"}, 9), ("z", "hash", None, {"x": "1"}, None)], "key string, type string, value string, fields map<string,string>, ttl_ms bigint")
+    events = [("a", 1, "set", None, "2", None, 70), ("h", 2, "hset", None, None, {"y": "2"}, None), ("h", 3, "hset", None, None, {"x": "3"}, None), ("z", 4, "del", None, None, None, None), ("z", 5, "hset", None, None, {"n": "1"}, None)]
+    events += [("n", 6, "copy", "list", "[1]", None, 8), ("a", 7, "hset", None, None, {"x": "0"}, None), ("g", 1, "hset", None, None, {"x": "1"}, None), ("g", 2, "del", None, None, None, None)]
+    got = {r["key"]: (r["type"], r["value"], r["fields"], r["ttl_ms"]) for r in changes.apply_keys(store, spark.createDataFrame(events, "key string, seq bigint, op string, type string, value string, fields map<string,string>, ttl_ms bigint")).collect()}
+    assert got == {"a": ("string", "2", None, None), "h": ("hash", None, {"x": "3", "y": "2"}, 9), "z": ("hash", None, {"n": "1"}, None), "n": ("list", "[1]", None, 8)}
+
+
 def test_schemas(spark):
     df = spark.createDataFrame([], "b struct<x:int,y:array<string>>, a date, id bigint, z void")
     assert schema.described(df, ["id"]) == [("id", "int", True), ("a", "date", False), ("b", "object", False), ("b.x", "int", False), ("b.y", "array", False), ("z", "null", False)]

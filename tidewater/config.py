@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -107,6 +108,36 @@ def task_from_json(task_id: int, text: str, enabled: bool = True) -> Task:
     return Task(task_id, raw.get("type", ""), raw.get("taskName", ""), enabled, bool(raw.get("securityEnabled")), seconds(raw.get("retryDelay")), tuple(mappings))
 
 
+def tasks_from_rows(rows: Iterable[Mapping[str, Any]]) -> tuple[list[Task], dict[int, str]]:
+    """Tasks by id from rows of id, enable and config_json; and why the settings of others could not be read. Empty settings are a task without mappings."""
+    tasks, errors = [], {}
+    for r in sorted(rows, key=lambda r: r["id"]):
+        try:
+            tasks.append(task_from_json(r["id"], r["config_json"] or "{}", bool(r["enable"])))
+        except (ValueError, KeyError, TypeError, AttributeError) as error:
+            errors[r["id"]] = f"{type(error).__name__}: {error}"
+    return tasks, errors
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What holds for all tasks."""
+
+    monitor_rows: bool = False
+    log_level: str = "info"
+    monitor_interval_s: float = 60.0
+    webhook: str = ""
+    channel: str = ""
+
+
+def settings_from_rows(rows: Iterable[Mapping[str, Any]]) -> Settings:
+    """The settings of the row of id 1; texts without value are empty."""
+    found = next((r for r in rows if r["id"] == 1), None)
+    if found is None:
+        raise ValueError("there is no row of id 1")
+    return Settings(bool(found["monitor_rows"]), found["log_level"], float(found["monitor_interval"]), found["webhook"] or "", found["channel"] or "")
+
+
 @dataclass(frozen=True)
 class BackupSpec:
     """An export: tables or name patterns, conditions and fields by table, format and target folder."""

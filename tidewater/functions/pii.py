@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DataType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from tidewater.config import PiiRule
 
@@ -43,22 +43,37 @@ def _protected(column: Column, kind: DataType, rule: PiiRule, key: bytes | None)
     return encrypted(column, kind, key)
 
 
+class _NoField(ValueError):
+    """A rule's path leads to no field."""
+
+
 def _within(column: Column, kind: DataType, path: list[str], rule: PiiRule, key: bytes | None) -> Column:
+    if isinstance(kind, ArrayType) and (path or not isinstance(kind.elementType, (StructType, MapType))):
+        # a path goes on in every element; a rule for an array of plain values holds for each of them
+        return F.transform(column, lambda x: _within(x, kind.elementType, path, rule, key))
     if not path:
         return _protected(column, kind, rule, key)
     if isinstance(kind, StructType) and path[0] in kind.names:
         inner = _within(column.getField(path[0]), kind[path[0]].dataType, path[1:], rule, key)
         return F.when(column.isNotNull(), column.withField(f"`{path[0]}`", inner))
-    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType) and len(path) == 1:
-        return F.transform_values(column, lambda k, v: F.when(k == path[0], _protected(v, kind.valueType, rule, key)).otherwise(v))
-    return column
+    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+        # values of one map have one type: where protection changes it, the others become strings too
+        made = lambda v: _within(v, kind.valueType, path[1:], rule, key)
+        if isinstance(kind.valueType, (StringType, StructType, MapType, ArrayType)):
+            return F.transform_values(column, lambda k, v: F.when(k == path[0], made(v)).otherwise(v))
+        return F.transform_values(column, lambda k, v: F.when(k == path[0], made(v)).otherwise(v.cast("string")))
+    raise _NoField(f"the rule for {rule.field!r} leads to no field: there is no {path[0]!r} in {kind.simpleString()}")
 
 
-def protect(df: DataFrame, rules: Iterable[PiiRule], key: bytes | None = None) -> DataFrame:
-    """df with every rule's field protected in one projection; rules for fields that it lacks do nothing.
+def protect(df: DataFrame, rules: Iterable[PiiRule], key: bytes | None = None, lacking: str = "error") -> DataFrame:
+    """df with every rule's field protected in one projection.
 
+    A path goes through structs, maps with string keys, and every element of arrays. A rule that leads to no field of
+    the schema is an error, as a misspelt one would leave data in clear; lacking="ignore" says that fields may lack.
     The first rule of a field holds. Encryption differs each time it is evaluated: write the result before using it twice.
     """
+    if lacking not in ("error", "ignore"):
+        raise ValueError(f"lacking is error or ignore, not {lacking!r}")
     first: dict[str, PiiRule] = {}
     for r in rules:
         first.setdefault(r.field, r)
@@ -66,6 +81,12 @@ def protect(df: DataFrame, rules: Iterable[PiiRule], key: bytes | None = None) -
     schema = df.schema
     for r in first.values():
         name, *path = [r.field] if r.field in schema.names else r.field.split(".")
-        if name in schema.names:
+        try:
+            if name not in schema.names:
+                raise _NoField(f"the rule for {r.field!r} leads to no field: there is no column {name!r}")
+            # of one column several fields: each is checked in the schema as it was
             out[name] = _within(out.get(name, F.col(f"`{name}`")), schema[name].dataType, path, r, key)
+        except _NoField:
+            if lacking == "error":
+                raise
     return df.withColumns(out) if out else df

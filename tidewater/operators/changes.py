@@ -75,6 +75,22 @@ def copy_if_empty(source: DataFrame, target: DataFrame | None) -> DataFrame | No
     return source if target is None or target.isEmpty() else None
 
 
+def none_of(df: DataFrame) -> DataFrame:
+    """A table without rows, of the same columns."""
+    return df.sparkSession.createDataFrame([], df.schema)
+
+
+def after_copy(source: DataFrame, target: DataFrame) -> DataFrame:
+    """The target after a snapshot that only an empty one takes."""
+    taken = copy_if_empty(source, target)
+    return target if taken is None else taken
+
+
+def present(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key the other side has; a null key is found nowhere."""
+    return rows.join(known, list(keys), "left_semi")
+
+
 def merge_fields(old: Column, new: Column) -> Column:
     """A hash's fields after an update of some of them."""
     return F.map_concat(F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(new), k)), new)
@@ -93,6 +109,36 @@ def apply_hashes(hashes: DataFrame, events: DataFrame) -> DataFrame:
     return left.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))
 
 
+def apply_keys(store: DataFrame, events: DataFrame) -> DataFrame:
+    """A key-value store after events, keys without value gone.
+
+    store: key, type, value, fields (map), ttl_ms. events: key, seq, op, type, value, fields, ttl_ms. del drops a key; set
+    makes it a string without time to live; copy takes type, value, fields and time to live as they are; hset merges
+    fields into a hash and leaves its time to live. An hset on another type changes nothing, as the store refuses it.
+    """
+    columns = ["key", "type", "value", "fields", "ttl_ms"]
+    none = F.lit(None)
+    put = F.when(F.col("op") == "set", F.struct(F.lit("string").alias("type"), "value", none.cast("map<string,string>").alias("fields"), none.cast("bigint").alias("ttl_ms"), F.lit(False).alias("gone")))
+    put = put.when(F.col("op") == "copy", F.struct("type", "value", "fields", "ttl_ms", F.lit(False).alias("gone")))
+    put = put.when(F.col("op") == "del", F.struct(none.cast("string").alias("type"), none.cast("string").alias("value"), none.cast("map<string,string>").alias("fields"), none.cast("bigint").alias("ttl_ms"), F.lit(True).alias("gone")))
+    whole = events.where("op in ('del', 'set', 'copy')").select("key", "seq", put.alias("state"))
+    stored = store.select("key", F.lit(None).cast("long").alias("seq"), F.struct("type", "value", "fields", "ttl_ms", F.lit(False).alias("gone")).alias("state"))
+    # of each key the last whole state, what was stored being before all events
+    state = whole.unionByName(stored).groupBy("key").agg(F.max_by("state", F.coalesce("seq", F.lit(-(1 << 63)))).alias("state"), F.max("seq").alias("since"))
+    sets = events.where("op = 'hset'").join(state, "key", "left").where("since is null or seq > since").where("state is null or state.gone or state.type = 'hash'")
+    last = sets.select("key", "seq", F.explode("fields").alias("field", "x")).groupBy("key", "field").agg(F.max_by("x", "seq").alias("x"))
+    fields = last.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "x")))).alias("set"))  # the fields of one hash
+    both = state.join(fields, "key", "full_outer")
+    hashed = F.col("set").isNotNull()
+    alive = ~F.coalesce("state.gone", F.lit(True))
+    out = both.where(alive | hashed).select(
+        "key", F.when(hashed, F.lit("hash")).otherwise(F.col("state.type")).alias("type"), F.when(~hashed, F.col("state.value")).alias("value"),
+        F.when(hashed, F.map_from_entries(F.sort_array(F.map_entries(merge_fields(F.when(alive, F.col("state.fields")), F.col("set")))))).otherwise(F.col("state.fields")).alias("fields"),
+        F.when(alive, F.col("state.ttl_ms")).alias("ttl_ms"),
+    )
+    return out.select(*columns)
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that are not unique, with their count: the check that stands for a unique index."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

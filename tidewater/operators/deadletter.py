@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RETRIES = 3
-OPERATION = "struct<id:string,write_model:string,error:string,error_code:int,op_type:string,retry_count:int>"
+#: One failed operation a row, so no batch of them need fit anywhere.
+LETTER = "batch_id string, id string, write_model string, error string, error_code int, op_type string, retry_count int"
+
+
+def event_type(row: str) -> str:
+    """The type of a change event over rows of a struct type."""
+    return f"struct<seq:bigint,op:string,before:{row},after:{row}>"
 
 
 def serialised(op: Column, key: Column, after: Column) -> Column:
@@ -25,25 +31,31 @@ def split(changes: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def letters(rejected: DataFrame, batch: Column, error: Column, payload: Column) -> DataFrame:
-    """One row a batch with its failed operations: batch_id, failed_operations, total_operations."""
-    one = F.struct(F.col("seq").cast("string").alias("id"), payload.alias("write_model"), error.alias("error"), F.lit(0).alias("error_code"), F.col("op").alias("op_type"), F.lit(0).alias("retry_count"))
-    return rejected.groupBy(batch.alias("batch_id")).agg(F.sort_array(F.collect_list(one)).alias("failed_operations"), F.count(F.lit(1)).alias("total_operations"))
+    """One row a failed operation (seq, op): LETTER."""
+    return rejected.select(
+        batch.cast("string").alias("batch_id"), F.col("seq").cast("string").alias("id"), payload.alias("write_model"), error.alias("error"),
+        F.lit(0).alias("error_code"), F.col("op").alias("op_type"), F.lit(0).alias("retry_count"),
+    )
+
+
+def letters_of(rejected: DataFrame, batch: Column, error: Column) -> DataFrame:
+    """Letters of whole events (seq, op, before, after); one without a seq is named by its content."""
+    event = F.to_json(F.struct("seq", "op", "before", "after"))
+    made = letters(rejected, batch, error, event)
+    return made.withColumn("id", F.coalesce("id", F.concat(F.lit("sha256:"), F.sha2("write_model", 256))))
 
 
-def eligible(batches: DataFrame, retries: int = RETRIES) -> DataFrame:
-    """Single operations that may be tried again."""
-    each = batches.select("batch_id", F.explode("failed_operations").alias("o"))
-    return each.where(F.col("o.retry_count") < retries).select("batch_id", "o.*")
+def eligible(stored: DataFrame, retries: int = RETRIES) -> DataFrame:
+    """Operations that may be tried again."""
+    return stored.where(F.col("retry_count") < retries)
 
 
-def after_retry(batches: DataFrame, succeeded: DataFrame, retries: int = RETRIES) -> DataFrame:
-    """The batches without the operations (batch_id, id) that succeeded; tried ones count once more, exhausted ones stay. Empty batches go."""
-    each = batches.select("batch_id", F.explode("failed_operations").alias("o")).withColumn("id", F.col("o.id"))
-    left = each.join(succeeded.select("batch_id", "id").distinct(), ["batch_id", "id"], "left_anti")
-    tried = F.when(F.col("o.retry_count") < retries, F.col("o").withField("retry_count", F.col("o.retry_count") + 1)).otherwise(F.col("o"))
-    return left.select("batch_id", tried.alias("o")).groupBy("batch_id").agg(F.sort_array(F.collect_list("o")).alias("failed_operations"), F.count(F.lit(1)).alias("total_operations"))
+def after_retry(stored: DataFrame, succeeded: DataFrame, retries: int = RETRIES) -> DataFrame:
+    """What is left after a retry in which the operations (batch_id, id) succeeded; tried ones count once more, exhausted ones stay."""
+    left = stored.join(succeeded.select("batch_id", "id").distinct(), ["batch_id", "id"], "left_anti")
+    return left.withColumn("retry_count", F.when(F.col("retry_count") < retries, F.col("retry_count") + 1).otherwise(F.col("retry_count"))).select(*stored.columns)
 
 
-def statistics(batches: DataFrame) -> DataFrame:
+def statistics(stored: DataFrame) -> DataFrame:
     """One row: batches and failed operations."""
-    return batches.agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum(F.size("failed_operations")), F.lit(0)).cast("long").alias("failed_operations"))
+    return stored.agg(F.count_distinct("batch_id").alias("batches"), F.count(F.lit(1)).alias("failed_operations"))

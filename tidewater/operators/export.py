@@ -92,3 +92,8 @@ def read_json_lines(spark: Any, path: str, schema: str | None = None) -> DataFra
     """An export's JSON lines; lines that are no objects are left out."""
     reader = spark.read.option("mode", "DROPMALFORMED")
     return (reader.schema(schema) if schema else reader).json(path)
+
+
+def record_count(spark: Any, path: str) -> int:
+    """How many records an export of JSON lines holds; blank lines are none."""
+    return spark.read.text(path).where(F.trim("value") != "").count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import datetime
 from typing import Any
@@ -17,23 +18,25 @@ from tidewater.functions.names import clean_quotes
 OPERATORS = ("=", ">", ">=", "<", "<=", "!=", "<>", "dateRange")
 
 
+#: What reads as a number in a condition; underscores, infinities and the like do not.
+_WHOLE, _NUMBER = re.compile(r"[+-]?[0-9]+"), re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+
+
 def literal(value: str) -> int | float | str:
-    """A condition's value: a whole number if it reads as one, else a number, else the text."""
-    for kind in (int, float):
-        try:
-            return kind(value)
-        except ValueError:
-            continue
-    return value
+    """A condition's value: a whole number of 64 bits if it reads as one, else a number, else the text."""
+    if _WHOLE.fullmatch(value) and -(1 << 63) <= int(value) < 1 << 63:
+        return int(value)
+    return float(value) if _NUMBER.fullmatch(value) else value
 
 
-def _compared(column: Column, kind: Any, value: Any) -> tuple[Column, Column]:
-    """Column and literal of one type: that of a string column is the string, so numbers in texts compare as written."""
+def _compared(column: Column, kind: Any, value: str) -> tuple[Column, Column]:
+    """Column and literal of one type: with a string column the value as it is written, zeros and exponents among it."""
     if isinstance(kind, StringType):
-        return column, F.lit(str(value))
-    if isinstance(kind, NumericType) and isinstance(value, str):
-        return column.cast("string"), F.lit(value)
-    return column, F.lit(value)
+        return column, F.lit(value)
+    made = literal(value)
+    if isinstance(kind, NumericType) and isinstance(made, str):
+        return column.cast("string"), F.lit(made)
+    return column, F.lit(made)
 
 
 def condition(c: CountCondition, schema: StructType, as_of: datetime) -> Column | None:
@@ -46,7 +49,7 @@ def condition(c: CountCondition, schema: StructType, as_of: datetime) -> Column
         return None if bounds is None else within(column, bounds)
     if c.value == "":
         return None
-    left, right = _compared(column, schema[c.field].dataType if c.field in schema.names else None, literal(c.value))
+    left, right = _compared(column, schema[c.field].dataType if c.field in schema.names else None, c.value)
     return {
         "=": lambda: left == right, ">": lambda: left > right, ">=": lambda: left >= right, "<": lambda: left < right,
         "<=": lambda: left <= right, "!=": lambda: ~left.eqNullSafe(right), "<>": lambda: ~left.eqNullSafe(right),

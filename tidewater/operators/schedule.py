@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.config import CountCondition, Task
 from tidewater.operators.predicates import count_where
 
+_log = logging.getLogger(__name__)
+
 LOG = "sync_task_id int, db_type string, src_table string, src_row_count bigint, tgt_table string, tgt_row_count bigint, monitor_action string, logged_at timestamp"
 
 
@@ -38,5 +42,28 @@ def compare(spark: SparkSession, task: Task, source: Callable[[str], DataFrame],
 
 
 def alerts(log: DataFrame) -> DataFrame:
-    """Mappings whose counts differ."""
-    return log.where("src_row_count <> tgt_row_count").selectExpr("sync_task_id", "src_table", "tgt_table", "src_row_count - tgt_row_count AS difference")
+    """Mappings whose counts differ, and those of which a side could not be counted, both sides among them."""
+    failed = (F.col("src_row_count") < 0) | (F.col("tgt_row_count") < 0)
+    rows = log.where((F.col("src_row_count") != F.col("tgt_row_count")) | failed)
+    return rows.select("sync_task_id", "src_table", "tgt_table", (F.col("src_row_count") - F.col("tgt_row_count")).alias("difference"), failed.alias("uncounted"))
+
+
+def append(log: DataFrame, path: str) -> None:
+    """Monitoring rows added to the log's table."""
+    log.write.mode("append").parquet(path)
+
+
+def notify(found: DataFrame, send: Callable[[str], object], most: int = 50) -> int:
+    """One message for each alert (one for a mapping), and one that says how many more there are; the number of alerts.
+
+    A message that cannot be sent keeps neither the others nor the comparison from going on.
+    """
+    rows = found.orderBy("sync_task_id", "src_table").limit(most + 1).collect()
+    n = len(rows) if len(rows) <= most else found.count()
+    said = [f"task {r['sync_task_id']}: {r['src_table']} -> {r['tgt_table']} " + ("could not be counted" if r["uncounted"] else f"differs by {r['difference']}") for r in rows[:most]]
+    for text in said + ([f"{n - most} more"] if n > most else []):
+        try:
+            send(text)
+        except Exception:
+            _log.exception("alert not sent: %s", text)
+    return n

@@ -27,6 +27,23 @@ _counted("count_ne", [C("o_orderstatus", "!=", "F")], "SELECT count(*) AS n FROM
 _counted("count_two_fields", [C("o_orderstatus", "=", "O"), C("o_totalprice", ">", "1000"), C("o_custkey", "=", "")], "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000", "orders")
 _counted("count_last_condition_wins", [C("o_totalprice", ">", "1000"), C("o_totalprice", "<", "90000")], "SELECT count(*) AS n FROM orders WHERE o_totalprice < 90000", "orders")
 _counted("count_other_table_ignored", [C("o_orderstatus", "=", "O", "orders"), C("o_custkey", ">", "5", "customer")], "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'", "orders")
+
+
+def _counted_text(name: str, value: str, operator: str = "=") -> None:
+    """Of texts that read as numbers, each written in several ways, those that are as the condition writes them."""
+    sql_op = {"=": "=", "!=": "IS DISTINCT FROM"}[operator]
+
+    @query(f"WITH t AS (SELECT unnest(['007', '7', '1e5', '100000.0', '1_000', '1000', 'Infinity', NULL]) AS x, n_nationkey FROM nation) SELECT count(*) AS n FROM t WHERE x {sql_op} '{value}'", name)
+    def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = F.array(*[F.lit(x) for x in ("007", "7", "1e5", "100000.0", "1_000", "1000", "Infinity", None)])
+        rows = table(spark, sf_dir, "nation").select("n_nationkey", F.explode_outer(texts).alias("x"))
+        return predicates.count_where(rows, [C("x", operator, value)], AS_OF)
+
+
+_counted_text("count_string_zeros", "007")
+_counted_text("count_string_exponent", "1e5")
+_counted_text("count_string_underscore", "1_000")
+_counted_text("count_string_ne", "Infinity", "!=")
 for _kind, _low, _high in (
     ("daily", "2024-01-19 15:00:00", "2024-01-20 15:00:00"), ("today", "2024-01-19 15:00:00", "2024-01-20 15:00:00"), ("yesterday", "2024-01-18 15:00:00", "2024-01-19 15:00:00"),
     ("weekly", "2024-01-13 15:00:00", "2024-01-20 15:00:00"), ("monthly", "2023-12-31 15:00:00", "2024-01-20 15:00:00"),

@@ -44,16 +44,16 @@ def cdc_replay_ignore_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id % 3 = 0),
+WITH last AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events),
 decided AS (SELECT * FROM last WHERE rn = 1)
 SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM decided)
 UNION ALL SELECT user_id, 'from ' || event_type, value FROM decided WHERE event_type <> 'error'
 """)
 def cdc_merge_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part of the log, by position, merged into a snapshot of customers."""
+    """The whole log merged into a snapshot of customers, of whom most have no event."""
     replica = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     after = F.struct(F.col("user_id").alias("c_custkey"), F.concat(F.lit("from "), F.col("event_type")).alias("c_name"), F.col("value").alias("c_acctbal"))
-    log = table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("seq"), F.col("user_id").alias("c_custkey"), _op().alias("op"), after.alias("after"))
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("c_custkey"), _op().alias("op"), after.alias("after"))
     return changes.merge(replica, changes.last_write_wins(log, ["c_custkey"]), ["c_custkey"])
 
 
@@ -89,15 +89,16 @@ def cdc_keep_unchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", changes.keep_unchanged(after, before, present, ["value", "event_type"]).alias("row")).select("event_id", "row.*")
 
 
-@query(f"""
-SELECT user_id AS task_id, event_type AS collection_name, count(*) AS received, count(*) FILTER ({_OP_SQL} <> 'delete') AS executed,
-  greatest(count(*) - count(*) FILTER ({_OP_SQL} <> 'delete'), 0) AS pending, count(*) FILTER ({_OP_SQL} = 'insert') AS inserted,
-  count(*) FILTER ({_OP_SQL} IN ('update', 'replace')) AS updated, 0::BIGINT AS deleted
-FROM events GROUP BY ALL
+@query("""
+WITH e AS (SELECT *, CASE event_type WHEN 'signup' THEN 'i' WHEN 'error' THEN 'd' WHEN 'view' THEN '?' ELSE 'u' END AS k FROM events)
+SELECT user_id AS task_id, floor(value / 100)::BIGINT AS collection_name, count(*) AS received, count(*) FILTER (k <> '?') AS executed, count(*) FILTER (k = '?') AS pending,
+  count(*) FILTER (k = 'i') AS inserted, count(*) FILTER (k = 'u') AS updated, count(*) FILTER (k = 'd') AS deleted
+FROM e GROUP BY ALL
 """)
 def cdc_op_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deletes count as not executed here."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("collection_name"), F.nullif(_op(), F.lit("delete")).alias("op"))
+    """Views stand for events of a kind that is not applied."""
+    op = F.when(F.col("event_type") == "view", "ddl").otherwise(_op())
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.floor(F.col("value") / 100).alias("collection_name"), op.alias("op"))
     return changes.op_counts(e, ["task_id", "collection_name"])
 
 
@@ -115,10 +116,16 @@ def cdc_stale_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.not_stale(table(spark, sf_dir, "events").select("event_id", lsn_column(text).alias("txn_lsn")), lsn("0/1000"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+@query("""
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 'copied' AS target FROM orders
+UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 'kept' FROM orders
+""")
 def snapshot_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Into an empty target, and a target with rows, which stays as it is."""
     orders = table(spark, sf_dir, "orders")
-    return changes.copy_if_empty(orders, orders.limit(0))
+    filled = orders.withColumn("o_orderkey", -F.col("o_orderkey"))
+    into_empty, into_filled = (changes.after_copy(orders, target) for target in (changes.none_of(orders), filled))
+    return into_empty.withColumn("target", F.lit("copied")).unionAll(into_filled.withColumn("target", F.lit("kept")))
 
 
 @query("""
@@ -152,6 +159,32 @@ def hash_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("key", F.array_join(F.transform(F.map_entries("fields"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("fields"))
 
 
+@query("""
+WITH e AS (SELECT user_id AS key, event_id AS seq, value, CASE event_type WHEN 'error' THEN 'del' WHEN 'purchase' THEN 'set' WHEN 'signup' THEN 'copy' ELSE 'hset' END AS op, event_type FROM events),
+whole AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM e WHERE op <> 'hset'),
+state AS (SELECT * FROM whole WHERE rn = 1),
+hashed AS (
+  SELECT e.key, e.event_type, max(e.seq) AS seq FROM e LEFT JOIN state s ON s.key = e.key
+  WHERE e.op = 'hset' AND (s.seq IS NULL OR e.seq > s.seq) AND (s.op IS NULL OR s.op <> 'set') GROUP BY ALL
+),
+sets AS (SELECT key, string_agg(event_type || '=' || seq::VARCHAR, ',' ORDER BY event_type) AS x FROM hashed GROUP BY key),
+keys AS (SELECT key FROM state WHERE op <> 'del' UNION SELECT key FROM sets)
+SELECT k.key, CASE WHEN s.op = 'set' THEN 'string' ELSE 'hash' END AS type, CASE WHEN s.op = 'set' THEN s.seq::VARCHAR END AS value,
+  CASE WHEN s.op = 'copy' THEN concat_ws(',', x.x, 'zcopied=' || s.seq::VARCHAR) ELSE x.x END AS fields, CASE WHEN s.op = 'copy' THEN s.seq * 10 END AS ttl_ms
+FROM keys k LEFT JOIN state s USING (key) LEFT JOIN sets x USING (key)
+""")
+def key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors delete a user's key, purchases set it, signups copy a hash with its time to live, others set a field."""
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", "del").when(F.col("event_type") == "purchase", "set").when(F.col("event_type") == "signup", "copy").otherwise("hset")
+    seq = F.col("event_id").cast("string")
+    field = F.when(F.col("event_type") == "signup", F.lit("zcopied")).otherwise(F.col("event_type"))
+    events = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.lit("hash").alias("type"), F.when(op == "set", seq).alias("value"), F.create_map(field, seq).alias("fields"), (F.col("event_id") * 10).alias("ttl_ms"))
+    store = spark.createDataFrame([], "key bigint, type string, value string, fields map<string,string>, ttl_ms bigint")
+    text = F.array_join(F.transform(F.map_entries("fields"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return changes.apply_keys(store, events).select("key", "type", "value", text.alias("fields"), "ttl_ms")
+
+
 @query("SELECT 'msg:' || conv_id::VARCHAR || '-' || turn::VARCHAR AS key, role, text FROM conversations")
 def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
@@ -173,7 +206,7 @@ def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, bad = deadletter.split(e, F.col("value") >= 20)
     made = deadletter.letters(bad, F.col("user_id"), F.lit("too small"), payload)
     # a letter's age stands for its earlier tries
-    return made.withColumn("failed_operations", F.transform("failed_operations", lambda o: o.withField("retry_count", (o["id"].cast("long") % 5).cast("int"))))
+    return made.withColumn("retry_count", (F.col("id").cast("long") % 5).cast("int"))
 
 
 @query("""
@@ -186,7 +219,7 @@ def dlq_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS batch_id, event_id::VARCHAR AS id, (event_id % 5)::INT AS retry_count FROM events WHERE value < 20 AND event_id % 5 < 3")
 def dlq_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deadletter.eligible(_letters(spark, sf_dir)).select("batch_id", "id", "retry_count")
+    return deadletter.eligible(_letters(spark, sf_dir)).select(F.col("batch_id").cast("long").alias("batch_id"), "id", "retry_count")
 
 
 @query("""
@@ -199,7 +232,7 @@ def dlq_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = _letters(spark, sf_dir)
     done = deadletter.eligible(letters).where("id % 2 = 0")
     left = deadletter.after_retry(letters, done)
-    return left.select("batch_id", "total_operations", F.aggregate("failed_operations", F.lit(0).cast("long"), lambda a, o: a + o["retry_count"]).alias("tries"))
+    return left.groupBy(F.col("batch_id").cast("long").alias("batch_id")).agg(F.count(F.lit(1)).alias("total_operations"), F.sum("retry_count").alias("tries"))
 
 
 @query(f"""
@@ -258,14 +291,14 @@ def row_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def existence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey")
+    known = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return changes.present(table(spark, sf_dir, "customer").select("c_custkey"), known, ["c_custkey"])
 
 
-@query("SELECT event_id, to_json({event_id: event_id, event_type: event_type})::VARCHAR AS value FROM events")
+@query("SELECT to_json({event_id: event_id, event_type: event_type, user_id: CASE WHEN user_id % 2 = 0 THEN user_id END})::VARCHAR.replace(',\"user_id\":null', '') AS value FROM events")
 def export_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "event_type")
-    return e.select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    user = F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("user_id")
+    return export.json_lines(table(spark, sf_dir, "events").select("event_id", "event_type", user))
 
 
 @query("""SELECT 'INSERT INTO `nation` (`n_nationkey`, `n_name`) VALUES (' || n_nationkey || ', ''' || n_name || ''');' AS value FROM nation""")

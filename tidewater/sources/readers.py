@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from typing import Any
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.names import matching
 
 #: The reader for each kind of source; all but files need the engine's connector among the jars.
-FORMATS = {"mysql": "jdbc", "mariadb": "jdbc", "postgresql": "jdbc", "mongodb": "mongodb", "redis": "org.apache.spark.sql.redis", "parquet": "parquet", "json": "json", "csv": "csv", "orc": "orc"}
+FORMATS = {"jdbc": "jdbc", "mysql": "jdbc", "mariadb": "jdbc", "postgresql": "jdbc", "mongodb": "mongodb", "redis": "org.apache.spark.sql.redis", "parquet": "parquet", "json": "json", "csv": "csv", "orc": "orc"}
+
+#: Of a JDBC table: rows of a fetch, and tasks that read it where the options have a partition column and its bounds but no number.
+FETCH_ROWS, PARTITIONS = 1000, 32
 
 
 def snapshot(spark: SparkSession, kind: str, table: str, options: dict[str, str] | None = None, columns: Sequence[str] = (), schema: str | None = None) -> DataFrame:
     """A table as it stands. Columns and later filters are pushed to the source; a JDBC table is split by partitionColumn among the options."""
-    reader = spark.read.format(FORMATS[kind]).options(**(options or {}))
+    reader = spark.read.format(FORMATS[kind])
+    if FORMATS[kind] == "jdbc":
+        reader = reader.option("fetchsize", FETCH_ROWS)
+        if {"partitionColumn", "lowerBound", "upperBound"} <= set(options or {}):
+            reader = reader.option("numPartitions", PARTITIONS)
+    reader = reader.options(**(options or {}))
     if schema:
         reader = reader.schema(schema)
     if FORMATS[kind] == "jdbc":
@@ -51,18 +61,56 @@ def matching_tables(spark: SparkSession, pattern: str, database: str | None = No
     return matching(tables(spark, database), pattern)
 
 
-#: Statements that only read.
-_READING = re.compile(r"\s*(select|with|show|describe|desc|explain|values|table)\b", re.I)
+#: The operators of Spark's parsed plans that a reading statement may have, and functions that run code of any kind.
+_READING = (
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Tail Join LateralJoin AsOfJoin Generate Window WithWindowDefinition Union Distinct Except Intersect SubqueryAlias "
+    "UnresolvedWith UnresolvedHint OneRowRelation LocalRelation Range Expand Sample Pivot Unpivot Repartition RepartitionByExpression View UnresolvedSubqueryColumnAliases "
+    "ShowTables ShowColumns ShowNamespaces ShowTableProperties ShowPartitions ShowViews ShowFunctions ShowCreateTable DescribeRelation DescribeColumn DescribeNamespace DescribeQueryCommand ExplainCommand"
+).split()
+_RUNNING = ("reflect", "java_method", "try_reflect")
+
+
+def _nodes(parsed: Any) -> Iterator[dict[str, Any]]:
+    """All nodes of a plan as JSON: operators, expressions, and those of subqueries within them."""
+    if isinstance(parsed, dict):
+        if "class" in parsed:
+            yield parsed
+        for x in parsed.values():
+            yield from _nodes(x)
+    elif isinstance(parsed, list):
+        for x in parsed:
+            yield from _nodes(x)
+
+
+def check_reading(spark: SparkSession, sql: str) -> None:
+    """PermissionError unless the statement is one that only reads, by the plan that Spark's own parser makes of it."""
+    try:
+        parsed = json.loads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toJSON())
+    except ParseException as error:
+        raise PermissionError(f"only one reading statement is allowed: {error}") from error
+    for node in _nodes(parsed):
+        package, _, name = node["class"].rpartition(".")
+        if package.endswith((".plans.logical", ".execution", ".execution.command", ".execution.datasources")) and name not in _READING:
+            raise PermissionError(f"only one reading statement is allowed, not {name}")
+        called = node.get("nameParts") or node.get("name") or ""
+        if name.startswith("Unresolved") and "Function" in name and any(f in str(called).lower().strip("[]").replace("`", "").split(", ") for f in _RUNNING):
+            raise PermissionError("functions that run code are not allowed")
 
 
 def ask(spark: SparkSession, sql: str, views: dict[str, DataFrame] | None = None, limit: int | None = None) -> DataFrame:
-    """A reading statement over the task's tables; anything that writes is refused by what it is, not by words within it."""
-    text = re.sub(r"^(\s|--[^\n]*\n|/\*.*?\*/)+", "", sql, flags=re.S)
-    if not _READING.match(text) or ";" in re.sub(r"'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`", "", text).rstrip().rstrip(";"):
-        raise PermissionError("only one reading statement is allowed")
-    if re.match(r"with\b", text, re.I) and re.search(r"\)\s*(insert|delete|update|merge)\b", text, re.I):
-        raise PermissionError("only one reading statement is allowed")
-    for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
-    out = spark.sql(text.rstrip().rstrip(";"))
+    """A reading statement over the task's tables; anything that writes is refused by what it is, not by words within it.
+
+    views are known to this statement alone: the session's own views of these names are as before after it.
+    """
+    text = sql.strip().rstrip(";")
+    check_reading(spark, text)
+    known = {v.name for v in spark.catalog.listTables() if v.isTemporary}
+    before = {name: spark.table(name) for name in views or {} if name.lower() in known}
+    try:
+        for name, df in (views or {}).items():
+            df.createOrReplaceTempView(name)
+        out = spark.sql(text)  # names are resolved here and now
+    finally:
+        for name in views or {}:
+            before[name].createOrReplaceTempView(name) if name in before else spark.catalog.dropTempView(name)
     return out if limit is None else out.limit(limit)

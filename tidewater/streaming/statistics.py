@@ -2,42 +2,56 @@
 
 from __future__ import annotations
 
+import json
 import threading
-from collections.abc import Callable
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from tidewater.operators.changes import OPS, op_counts
+from tidewater.operators.changes import OPS
+from tidewater.streaming.replica import Files
+
+_NAMES = ("received", "executed", "inserted", "updated", "deleted")
 
 
 class Statistics:
-    """Counters by (task, collection); a batch that comes again is counted once."""
+    """Counters by (task, collection), in a small file of the shared store, so a restart goes on from them.
+
+    Counting is part of the pass that applies a batch. A batch that comes again is counted once: the last one of each
+    stream is kept with the counters.
+    """
 
-    def __init__(self, task_id: int) -> None:
-        self.task_id, self.totals, self.seen = task_id, {}, {}
+    def __init__(self, spark: SparkSession, task_id: int, path: str) -> None:
+        self.task_id, self.files = task_id, Files(spark, path)
         self.lock = threading.Lock()
 
-    def hook(self, collection: str) -> Callable[[DataFrame, int], None]:
-        """For `follow(..., on_batch=...)`."""
+    def _kept(self) -> dict[str, dict]:
+        text = self.files.read(f"statistics-{self.task_id}.json")
+        return json.loads(text) if text else {}
 
-        def add(events: DataFrame, batch: int) -> None:
-            row = op_counts(events.withColumn("op", F.when(F.col("op").isin(*OPS), F.col("op"))).withColumn("all", F.lit(1)), ["all"]).first()
-            with self.lock:
-                if batch <= self.seen.get(collection, -1):
-                    return
-                self.seen[collection] = batch
-                kept = self.totals.setdefault(collection, dict.fromkeys(("received", "executed", "inserted", "updated", "deleted"), 0))
-                for name in kept:
-                    kept[name] += row[name] if row else 0
+    def observed(self, events: DataFrame) -> tuple[DataFrame, Observation]:
+        """The events, with an observation that holds their counts once they are read."""
+        seen = Observation(f"counts-{uuid.uuid4().hex}")
+        kind = lambda *ops: F.count_if(F.col("op").isin(*ops))
+        made = (F.count(F.lit(1)), kind(*OPS), kind("insert"), kind("update", "replace"), kind("delete"))
+        return events.observe(seen, *[c.cast("long").alias(n) for n, c in zip(_NAMES, made, strict=True)]), seen
 
-        return add
+    def add(self, collection: str, batch: str, seen: Observation) -> None:
+        row = seen.get
+        with self.lock:
+            kept = self._kept()
+            mine = kept.setdefault(collection, dict.fromkeys(_NAMES, 0) | {"batch": None})
+            if mine["batch"] == batch:
+                return
+            kept[collection] = {n: mine[n] + int(row.get(n) or 0) for n in _NAMES} | {"batch": batch}
+            self.files.write(f"statistics-{self.task_id}.json", json.dumps(kept))
 
     def rows(self) -> list[tuple]:
         """task_id, collection_name, received, executed, pending, inserted, updated, deleted."""
         with self.lock:
-            return [(self.task_id, c, t["received"], t["executed"], max(t["received"] - t["executed"], 0), t["inserted"], t["updated"], t["deleted"]) for c, t in sorted(self.totals.items())]
+            return [(self.task_id, c, t["received"], t["executed"], max(t["received"] - t["executed"], 0), t["inserted"], t["updated"], t["deleted"]) for c, t in sorted(self._kept().items())]
 
 
 class Progress(StreamingQueryListener):
