@@ -27,12 +27,13 @@ def split_key_changes(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     events: seq, op, before, after (structs of the row). The result has key columns, seq, op and after.
     """
     before, after = (F.struct(*[F.col(f"{side}.{k}").alias(k) for k in keys]) for side in ("before", "after"))
-    deleted = F.struct(before.alias("key"), F.lit("delete").alias("op"))
-    upserted = F.struct(after.alias("key"), F.col("op").alias("op"))
+    # the row goes with its change, so that the explosion has one input
+    gone = lambda key: F.struct(key.alias("key"), F.lit("delete").alias("op"), F.when(F.lit(False), F.col("after")).alias("after"))
+    upserted = F.struct(after.alias("key"), F.col("op").alias("op"), F.col("after"))
     moved = F.col("before").isNotNull() & F.col("after").isNotNull() & ~before.eqNullSafe(after)
-    each = F.when(F.col("op") == "delete", F.array(F.struct(F.coalesce(F.when(F.col("before").isNotNull(), before), after).alias("key"), F.lit("delete").alias("op"))))
-    each = each.when(moved, F.array(deleted, upserted)).otherwise(F.array(upserted))
-    return events.select("seq", F.explode(each).alias("x"), "after").select("seq", "x.key.*", "x.op", F.when(F.col("x.op") != "delete", F.col("after")).alias("after"))
+    each = F.when(F.col("op") == "delete", F.array(gone(F.coalesce(F.when(F.col("before").isNotNull(), before), after))))
+    each = each.when(moved, F.array(gone(before), upserted)).otherwise(F.array(upserted))
+    return events.select("seq", F.explode(each).alias("x")).select("seq", "x.key.*", "x.op", "x.after")
 
 
 def last_write_wins(changes: DataFrame, keys: Sequence[str], order: Sequence[str] = ("seq",)) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import threading
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -39,7 +40,10 @@ class Statistics:
         return events.observe(seen, *[c.cast("long").alias(n) for n, c in zip(_NAMES, made, strict=True)]), seen
 
     def add(self, collection: str, batch: str, seen: Observation) -> None:
-        row = seen.get
+        try:
+            row = seen.get
+        except Py4JJavaError:
+            row = {}  # an empty input is planned away, and its observation with it
         with self.lock:
             kept = self._kept()
             mine = kept.setdefault(collection, dict.fromkeys(_NAMES, 0) | {"batch": None})
