@@ -3,35 +3,92 @@
 from __future__ import annotations
 
 import atexit
+import logging
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+class _Scratch:
+    """The scratch paths of a session, removed one by one, or all together when the session stops or the program ends."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+        self.own: list[str] = []
+        self.watched: set[int] = set()
+
+    def add(self, spark: SparkSession, path: str) -> None:
+        self.paths.append((spark, path))
+        context = spark.sparkContext
+        if id(context) not in self.watched:
+            self.watched.add(id(context))
+            stop = context.stop
+
+            def stopped() -> None:
+                """Once the session has stopped, its file systems cannot be asked any more."""
+                self.clear(context)
+                stop()
+
+            context.stop = stopped
+
+    def remove(self, gone: set[str | None]) -> None:
+        for entry in [x for x in self.paths if x[1] in gone]:
+            self._delete(*entry)
+            self.paths.remove(entry)
+
+    def clear(self, context: object = None) -> None:
+        for entry in [x for x in self.paths if context is None or x[0].sparkContext is context]:
+            try:
+                self._delete(*entry)
+            except Exception:  # noqa: BLE001 - the store may be gone, and nothing may keep a session from stopping
+                _log.warning("scratch not removed: %s", entry[1])
+            self.paths.remove(entry)
+        for path in self.own if context is None else []:
+            shutil.rmtree(path, ignore_errors=True)
+
+    def _delete(self, spark: SparkSession, path: str) -> None:
+        if spark.sparkContext._jsc is None:
+            return
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_log = logging.getLogger(__name__)
+_scratch = _Scratch()
+atexit.register(_scratch.clear)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset and the session runs on this machine alone, one of our own, removed at the end; elsewhere an error,
+    as executors would write to disks that the others do not see.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewater-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="tidewater-")
+        _scratch.own.append(made)
+        found = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
+    """A fresh path in the shared folder, removed when the session stops."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _scratch.add(spark, path)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared folder and read it back, so that a lost executor costs no recomputation."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Cut the lineage: write a table to the shared folder and read it back, so that a lost executor costs no recomputation. by: columns it is parted by."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -39,27 +96,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def release(*frames: DataFrame | None) -> None:
     """Remove the scratch tables of frames that materialize gave and no later plan reads."""
-    gone = {getattr(f, "scratch", None) for f in frames if f is not None}
-    for spark, path in [x for x in _written if x[1] in gone]:
-        _remove(spark, path)
-        _written.remove((spark, path))
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _remove_all() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit
-            return
+    _scratch.remove({getattr(f, "scratch", None) for f in frames if f is not None} - {None})
 
 
 def others(df: DataFrame, taken: list[str]) -> list[Column]:

@@ -13,17 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialize, release
+from tidewater.llm.common import materialize, packed, release, scratch_path, unpacked
 from tidewater.llm.shingles import WORDS, word_hashes
+from tidewater.llm.spans import row_hash
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 mass in a passage from which on it is retrieved, and of the shingles of question and answer.
 RETRIEVE, OVERLAP = 0.7, 0.8
-#: One index holds so many items and so much text at most; a larger benchmark gets several, each broadcast for itself.
-INDEX_ITEMS, INDEX_CHARS = 2048, 8_000_000
+#: One index holds so many items and so much text at most; a larger benchmark gets several, each broadcast for itself and gone before the next.
+INDEX_ITEMS, INDEX_CHARS = 8192, 8_000_000
 #: Blocks of an index, over which each term keeps the maximum of its impacts.
 BLOCKS = 64
 #: A passage has at least so many words; it has twice the longest item's, and every second half overlaps the next.
@@ -232,32 +234,56 @@ def _statistics(items: DataFrame) -> tuple[tuple[int, float, int], DataFrame]:
     return (n, words / n if n else 0.0, longest or 0), frequencies
 
 
-def leaks_column(docs: DataFrame, benchmark: DataFrame, text: Column) -> Column:
-    """A column of the items that a text leaks.
+def _indexes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes of the benchmark, one after the other, with the statistics of the whole, and whether there are several.
 
-    The benchmark comes to the driver in parts of bounded size, one index each, with the statistics of the whole; null
-    texts and ids are left out.
+    Each comes to the driver by itself, in parts of bounded size; null texts and ids are left out.
     """
-    spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     n, chars = items.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
     shards = max(1, -(-n // (INDEX_ITEMS // 2)), -(-(chars or 0) // (INDEX_CHARS // 2))) if n > INDEX_ITEMS or (chars or 0) > INDEX_CHARS else 1
+    if shards == 1:
+        index = build_index([tuple(r) for r in items.orderBy("item_id", "text").collect()])
+        if index is not None:
+            yield index, False
+        return
     items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
-    sizes, frequencies = _statistics(items) if shards > 1 else (None, None)
-    found = []
+    sizes, frequencies = _statistics(items)
+    # by part, so that each is read once
+    dealt = materialize(items, "benchmark-parts", "part")
+    frequencies = materialize(frequencies, "benchmark-parts", "part")
     for k in range(shards):
-        part = items.where(F.col("part") == k).orderBy("item_id", "text").select("item_id", "text").collect()
-        whole = None
-        if frequencies is not None:
-            rows = frequencies.where(F.col("part") == k).select("t", "df").toPandas()
-            whole = Statistics(*sizes, dict(zip(rows["t"].to_numpy(np.int64).view(np.uint64).tolist(), rows["df"].tolist(), strict=True)))
+        part = dealt.where(F.col("part") == k).orderBy("item_id", "text").select("item_id", "text").collect()
+        rows = frequencies.where(F.col("part") == k).select("t", "df").toPandas()
+        whole = Statistics(*sizes, dict(zip(rows["t"].to_numpy(np.int64).view(np.uint64).tolist(), rows["df"].tolist(), strict=True)))
         index = build_index([tuple(r) for r in part], whole)
-        if index is None:
-            continue
-        sent = spark.sparkContext.broadcast(index)
-        found.append(F.pandas_udf(lambda texts, sent=sent: pd.Series(find_items(texts.fillna("").tolist(), sent.value)), KIND)(text))
-    release(frequencies)
-    return F.concat(*found) if found else F.array().cast(KIND)
+        if index is not None:
+            yield index, True
+    release(dealt, frequencies)
+
+
+def _found(docs: DataFrame, index: Index) -> tuple[DataFrame, Broadcast]:
+    """docs with a column found: the items of one index that text leaks."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    return docs.withColumn("found", F.pandas_udf(lambda texts: pd.Series(find_items(texts.fillna("").tolist(), sent.value)), KIND)("text")), sent
+
+
+def _rated(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """doc_id, row, x of each leak; None where nothing can leak.
+
+    With several indexes a pass over the documents for each, written before the next is made: no machine holds more than one.
+    """
+    rows = docs.select("doc_id", row_hash(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    path = None
+    for index, several in _indexes(benchmark):
+        with_items, sent = _found(rows, index)
+        each = with_items.select("doc_id", "row", F.explode_outer("found").alias("x")).where("x is not null")
+        if not several:
+            return each
+        path = path or scratch_path(docs.sparkSession, "leaks")
+        each.write.mode("append").parquet(path)
+        sent.destroy()
+    return None if path is None else docs.sparkSession.read.schema(each.schema).parquet(path)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -266,12 +292,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Texts are compared by words without case. Null and empty texts leak nothing, nor does anything of an empty
     benchmark; equal items are each reported; repeated rows give repeated results.
     """
-    rated = docs.select("doc_id", F.explode_outer(leaks_column(docs, benchmark, F.col("text"))).alias("x")).where("x is not null")
+    rated = _rated(docs, benchmark)
+    if rated is None:
+        return docs.select("doc_id", F.explode(F.array().cast(KIND)).alias("x")).select("doc_id", "x.*")
     return rated.select("doc_id", "x.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with their own columns."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rated = docs.select(F.struct(*columns).alias("doc"), leaks_column(docs, benchmark, F.col("text")).alias("found"))
-    return rated.where(F.size("found") == 0).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    indexes = _indexes(benchmark)
+    first = next(indexes, None)
+    if first is None:
+        return docs
+    whole = packed(docs)
+    if not first[1]:
+        rated, _ = _found(whole.withColumn("text", F.col("doc.text")), first[0])
+        return unpacked(rated.where(F.size("found") == 0), docs.columns)
+    indexes.close()
+    gone = _rated(docs, benchmark)
+    keys = gone.select("doc_id", "row").distinct().select(F.struct("doc_id", "row").alias("g"))
+    rows = whole.withColumn("row", row_hash(F.col("doc.doc_id"), F.col("doc.text")))
+    return unpacked(rows.join(keys, (F.col("row") == F.col("g.row")) & F.col("doc.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti"), docs.columns)
