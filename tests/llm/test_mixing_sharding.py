@@ -54,6 +54,30 @@ def test_mix_against_direct_inversion(spark, monkeypatch, broadcast):
     assert abs(counts["a"] - 3000) < 250 and abs(counts["hot"] - 1500) < 200 and counts["c"] == 0
 
 
+def test_rates_of_any_height(spark):
+    """A source of one row, at the same weight as a large one."""
+    n = 200_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") == 77, "rare").otherwise("hot").alias("source"))
+    got = mixing.mix(df, {"rare": 1.0, "hot": 1.0})
+    counts = {r["source"]: r["count"] for r in got.groupBy("source").count().collect()}
+    rate = n / 2
+    parts = math.ceil(rate / mixing.MOST_RATE)
+
+    def inverted(u, rate):
+        k, total = 0, math.exp(-rate)
+        term = total
+        while total <= u:
+            k += 1
+            term *= rate / k
+            total += term
+        return k
+
+    want = sum(inverted(draw("mix", 77, j), rate / parts) for j in range(parts))
+    assert counts["rare"] == want and abs(want - rate) < 6 * math.sqrt(rate) and abs(counts["hot"] - rate) < 2500
+    copies = got.where("source = 'rare'").agg(F.min("copy"), F.max("copy"), F.count_distinct("copy")).first()
+    assert tuple(copies) == (0, want - 1, want)
+
+
 def test_mix_edges(spark):
     df = spark.createDataFrame([(None, None, None), (None, "x", None), (1, "", "s"), (1, "", "s")], "doc_id long, text string, source string")
     assert len({r["copy"] for r in mixing.mix(df).where("doc_id = 1").collect()}) * 2 == mixing.mix(df).where("doc_id = 1").count()

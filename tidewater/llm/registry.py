@@ -148,18 +148,25 @@ WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (
   SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) * (SELECT sum(n) FROM counts)::DOUBLE / n AS rate FROM counts
 ),
+parted AS (SELECT source, greatest(ceil(rate / 256), 1)::BIGINT AS parts, rate / greatest(ceil(rate / 256), 1) AS rate FROM rates),
 terms AS (
-  SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
-  FROM rates, range(0, 4000) AS r(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 24)
+  SELECT source, parts, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p
+  FROM parted, range(0, 500) AS r(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 24)
 ),
-cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-lists AS (SELECT source, list(c ORDER BY k) AS cdf FROM cdf GROUP BY source),
+cdf AS (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+lists AS (SELECT source, any_value(parts) AS parts, list(c ORDER BY k) AS cdf FROM cdf GROUP BY source),
 drawn AS (
-  SELECT d.*, ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u, l.cdf
+  SELECT d.*, l.parts, l.cdf, unnest(range(l.parts)) AS part, coalesce(doc_id::VARCHAR, 'null') AS id
   FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source
 ),
-counted AS (SELECT *, len(list_filter(cdf, lambda c: c <= u))::INT AS reps FROM drawn),
-copies AS (SELECT *, unnest(range(0, reps))::INT AS copy FROM counted)
+rated AS (
+  SELECT *, ('0x' || substr(md5('mix:' || id || CASE WHEN parts > 1 THEN ':' || part::VARCHAR ELSE '' END), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM drawn
+),
+counted AS (
+  SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(cdf, lambda c: c <= u)))::BIGINT AS reps
+  FROM rated GROUP BY ALL
+),
+copies AS (SELECT *, unnest(range(0, reps)) AS copy FROM counted)
 SELECT doc_id, text, lang, source, n_chars, copy,
   ('0x' || substr(md5('mix order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS shuffle_key
 FROM copies
