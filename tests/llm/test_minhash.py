@@ -71,6 +71,26 @@ def test_against_all_pairs(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in got.values()})
 
 
+def chain(n, seed=2):
+    """Texts of which each is near the next ones only, in one large component of few candidate pairs."""
+    r = random.Random(seed)
+    words_ = ["w%d" % r.randrange(10**6) for _ in range(60 + 3 * n)]
+    return [" ".join(words_[3 * i : 3 * i + 60]) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [4, 1000])
+def test_chains_and_groups_by_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_SETS", block)
+    texts = chain(320) + corpus(11, 3, 12)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    chosen = []
+    kept = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda frame, name: (made := kept(frame, name), name == "by-bucket" and chosen.append(made.count()))[0])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash.similar_documents(df).collect()}
+    assert got == brute(texts)
+    assert sum(chosen) >= 1 if block < 1000 else not chosen
+
+
 def test_shuffled_fetch_gives_the_same(spark, monkeypatch):
     texts = corpus(8, 5, 6)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

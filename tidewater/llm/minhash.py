@@ -107,14 +107,21 @@ def linked_pairs(sets: list[np.ndarray], threshold: float, left: int | None = No
     return np.nonzero(np.triu(similar, 1))
 
 
-def _verify(words: int, threshold: float):
-    def done(rows: list[tuple]) -> pd.DataFrame:
+def _verify(words: int, threshold: float, bands: int, rows: int):
+    def done(held: list[tuple]) -> pd.DataFrame:
         # a set that came twice (repeated rows) counts once
-        one = {r[1]: r for r in sorted(rows, key=lambda r: (not r[4], r[1]))}
+        one = {r[1]: r for r in sorted(held, key=lambda r: (not r[4], r[1]))}
         nodes = list(one)
         sets = list(shingle_sets([one[x][3] for x in nodes], words))
-        across = not one[nodes[0]][5]
-        i, j = linked_pairs(sets, threshold, sum(one[x][4] for x in nodes) if across else None)
+        _, _, _, _, _, within, band = one[nodes[0]]
+        i, j = linked_pairs(sets, threshold, None if within else sum(one[x][4] for x in nodes))
+        if band >= 0 and len(i):
+            # a pair counts in the first bucket that it shares
+            met = np.unique(np.concatenate([i, j]))
+            signed = np.zeros((len(nodes), bands), dtype=np.uint64)
+            signed[met] = [signature(sets[k], bands, rows) for k in met.tolist()]
+            first = np.argmax(signed[i] == signed[j], axis=1) == band
+            i, j = i[first], j[first]
         weight = np.array([one[x][2] for x in nodes], dtype=np.int64)
         links = np.bincount(i, weight[j], len(nodes)) + np.bincount(j, weight[i], len(nodes))
         parent = {k: k for k in range(len(nodes))}
@@ -128,7 +135,7 @@ def _verify(words: int, threshold: float):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
         for b in batches:
-            for r in zip(b["block"], b["set"], b["weight"], b["text"], b["first"], b["within"], strict=True):
+            for r in zip(b["block"], b["set"], b["weight"], b["text"], b["first"], b["within"], b["band"], strict=True):
                 if r[0] != key:
                     if len(held) > 1:
                         yield done(held)
@@ -140,42 +147,76 @@ def _verify(words: int, threshold: float):
     return of
 
 
-def _blocks(sets: DataFrame, threshold: float) -> DataFrame:
+def _parts(count: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _numbered(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _block(name: Column, first: Column, within: Column) -> Column:
+    return F.struct(name.alias("name"), first.alias("first"), within.alias("within"))
+
+
+_BLOCK_COLUMNS = ["set", "weight", "doc_id", "row", "block", "first", "within", "band"]
+
+
+def _blocks(sets: DataFrame, banded: DataFrame, threshold: float) -> DataFrame:
     """Each candidate set once for every verification block that it is part of.
 
-    A component of candidates is one block where it is small enough. A larger one is parted by size classes, of which
-    only equal and adjacent ones can hold links, and these by hash; two parts meet in one block, so every pair that can
-    be linked meets in exactly one block and no task holds more than two parts.
+    A component of candidates is one block where it is small enough. A larger one is parted in one of two ways, whichever
+    sends fewer texts. By size: size classes, of which only equal and adjacent ones can hold links, in parts by hash; two
+    parts meet in one block, so every pair that can be linked meets in exactly one block. By bucket: the sets of each
+    band's bucket, in parts alike, so that only candidate pairs meet, and a pair counts in the first bucket it shares;
+    a bucket of the same sets as one of an earlier band is left out, as no pair is first there. No task holds more than
+    two parts.
     """
-    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))).cast("int")
-    parts = lambda count, shingles: F.greatest(F.ceil(count / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
     # only components of more than one part need a size to be looked up; they have BLOCK_SETS sets or a long text each
-    large = sets.groupBy("root").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("all_parts")).where("all_parts > 1").select("root", F.lit(True).alias("large"))
+    large = sets.groupBy("root").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("all_parts")).where("all_parts > 1").select("root", F.lit(True).alias("large"))
     large = materialize(large, "large")
-    sent = F.broadcast if large.count() <= BROADCAST_LARGE else (lambda df: df)
+    n_large = large.count()
+    if not n_large:
+        name = F.to_json(F.struct("root"))
+        return sets.select("set", "weight", "doc_id", "row", name.alias("block"), F.lit(True).alias("first"), F.lit(True).alias("within"), F.lit(-1).alias("band"))
+    sent = F.broadcast if n_large <= BROADCAST_LARGE else (lambda df: df)
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))).cast("int")
     sets = sets.join(sent(large), "root", "left").withColumn("level", F.when(F.col("large"), level).otherwise(F.lit(0)))
-    by_level = materialize(sets.where("large").groupBy("root", "level").agg(parts(F.count(F.lit(1)), F.sum("n")).alias("parts")), "levels")
+    by_level = materialize(sets.where("large").groupBy("root", "level").agg(_parts(F.count(F.lit(1)), F.sum("n")).alias("parts"), F.count(F.lit(1)).alias("sets")), "levels")
     above = by_level.select("root", (F.col("level") - 1).alias("level"), F.col("parts").alias("parts_above"))
     below = by_level.select("root", (F.col("level") + 1).alias("level"), F.col("parts").alias("parts_below"))
     sized = by_level.join(above, ["root", "level"], "left").join(below, ["root", "level"], "left")
-    mine = sets.join(sent(sized), ["root", "level"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+    members = materialize(banded.join(sets.where("large").select("set", "root", "n"), "set"), "members")
+    buckets = members.groupBy("band", "hash").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("set")).alias("mark")).where("size > 1")
+    # one bucket of each different group of sets, that of the first band
+    different = buckets.groupBy("root", "mark", "size", "shingles").agg(F.min(F.struct("band", "hash")).alias("b"))
+    different = materialize(different.select("root", "b.band", "b.hash", "size", _parts(F.col("size"), F.col("shingles")).alias("parts")), "buckets")
+    by_size = sized.groupBy("root").agg(F.sum(F.col("sets") * (F.col("parts") + F.coalesce("parts_above", F.lit(0)) + F.coalesce("parts_below", F.lit(0)))).alias("by_size"))
+    costs = by_size.join(different.groupBy("root").agg(F.sum(F.col("size") * F.col("parts")).alias("by_bucket")), "root")
+    chosen = materialize(costs.where("by_bucket < by_size").select("root", F.lit(True).alias("by_bucket")), "by-bucket")
+
+    mine = sets.join(sent(chosen), "root", "left").where("by_bucket is null").join(sent(sized.drop("sets")), ["root", "level"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mine = mine.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
     zero = F.lit(0)
 
-    def numbered(n: Column) -> Column:
-        return F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<int>"))
-
     def block(low: Column, a: Column, high: Column, b: Column, first: Column) -> Column:
-        within = (low == high) & (a == b)
-        name = F.struct(F.col("root"), low.alias("low"), a.alias("a"), high.alias("high"), b.alias("b"))
-        return F.struct(name.alias("name"), first.alias("first"), within.alias("within"))
+        name = F.to_json(F.struct(F.col("root"), low.alias("low"), a.alias("a"), high.alias("high"), b.alias("b")))
+        return _block(name, first, (low == high) & (a == b))
 
     at, part = F.col("level"), F.col("part")
-    same = F.transform(numbered(F.col("parts")), lambda p: block(at, F.least(p, part), at, F.greatest(p, part), part <= p))
-    up = F.transform(numbered(F.coalesce("parts_above", zero)), lambda p: block(at, part, at + 1, p, F.lit(True)))
-    down = F.transform(numbered(F.coalesce("parts_below", zero)), lambda p: block(at - 1, p, at, part, F.lit(False)))
-    each = mine.select("set", "weight", "doc_id", "row", F.explode_outer(F.concat(same, up, down)).alias("x"))
-    return each.select("set", "weight", "doc_id", "row", F.to_json("x.name").alias("block"), "x.first", "x.within")
+    same = F.transform(_numbered(F.col("parts")), lambda p: block(at, F.least(p, part), at, F.greatest(p, part), part <= p))
+    up = F.transform(_numbered(F.coalesce("parts_above", zero)), lambda p: block(at, part, at + 1, p, F.lit(True)))
+    down = F.transform(_numbered(F.coalesce("parts_below", zero)), lambda p: block(at - 1, p, at, part, F.lit(False)))
+    each = mine.select("set", "weight", "doc_id", "row", F.explode_outer(F.concat(same, up, down)).alias("x"), F.lit(-1).alias("band"))
+
+    # keys of a hot component are many, as each bucket is one
+    dealt = members.join(different.join(sent(chosen), "root").select("band", "hash", "parts"), ["band", "hash"])
+    dealt = dealt.join(sets.where("large").select("set", "weight", "doc_id", "row"), "set").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    low, high = lambda p: F.least(p, F.col("part")), lambda p: F.greatest(p, F.col("part"))
+    of_bucket = lambda p: _block(F.to_json(F.struct("band", "hash", low(p).alias("a"), high(p).alias("b"))), F.col("part") <= p, F.col("part") == p)
+    more = dealt.select("set", "weight", "doc_id", "row", F.explode_outer(F.transform(_numbered(F.col("parts")), of_bucket)).alias("x"), "band")
+    return each.unionAll(more).select("set", "weight", "doc_id", "row", F.col("x.name").alias("block"), "x.first", "x.within", "band")
 
 
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, rows: int = ROWS) -> DataFrame:
@@ -206,12 +247,12 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     near = components(edges)
 
     candidates = sets.join(near, sets["set"] == near["node"]).select("set", "n", "weight", "doc_id", "row", "root")
-    blocks = materialize(_blocks(candidates, threshold), "blocks")
-    fetch = blocks.select(F.struct("set", "weight", "doc_id", "row", "block", "first", "within").alias("b"))
+    blocks = materialize(_blocks(candidates, banded, threshold), "blocks")
+    fetch = blocks.select(F.struct(*_BLOCK_COLUMNS).alias("b"))
     if blocks.count() <= BROADCAST_SETS:
         fetch = F.broadcast(fetch)
-    met = texts.join(fetch, (F.col("row") == F.col("b.row")) & F.col("doc_id").eqNullSafe(F.col("b.doc_id"))).select("b.set", "b.weight", "b.block", "b.first", "b.within", "text")
-    found = met.repartition("block").sortWithinPartitions("block").mapInPandas(_verify(words, threshold), "set bigint, links bigint, head bigint")
+    met = texts.join(fetch, (F.col("row") == F.col("b.row")) & F.col("doc_id").eqNullSafe(F.col("b.doc_id"))).select("b.set", "b.weight", "b.block", "b.first", "b.within", "b.band", "text")
+    found = met.repartition("block").sortWithinPartitions("block").mapInPandas(_verify(words, threshold, bands, rows), "set bigint, links bigint, head bigint")
     found = materialize(found, "links")
     links = found.groupBy("set").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("set").alias("a"), F.col("head").alias("b")))
