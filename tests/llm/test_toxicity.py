@@ -72,8 +72,8 @@ def test_ratios_against_plain_recursion(spark):
     new = "never seen: zzz bozoed théin"
     b = b"\0" * 5 + new.encode()
     direct = sum(math.log(p(1, b[i : i + 6]) / p(0, b[i : i + 6])) for i in range(len(b) - 5))
-    mean, _, _ = toxicity.evidence([new], toxicity._lookup(grams), toxicity._lookup(contexts))
-    assert abs(mean[0] * (len(b) - 5) - direct) < 1e-3
+    ((mean, *_),) = toxicity.evidence([new], toxicity._lookup(grams), toxicity._lookup(contexts))
+    assert abs(mean * (len(b) - 5) - direct) < 1e-3
 
 
 def test_lookup():
@@ -89,6 +89,7 @@ def test_lookup():
 @pytest.fixture(scope="module")
 def scored(spark):
     docs, labels = corpus()
+    docs += [(8, docs[9][1], "x", 1.0), (8, docs[11][1], "x", 1.0), (8, None, "x", 1.0)]  # rows that share an id, not a text
     docs += [(5000, None, "x", 1.0), (5001, "", "x", 1.0), (None, "bozothth bozonded and", "x", 1.0), docs[3], (5002, "he " * 40000, "x", 1.0)]
     labels += [(5003, 1, 1), (None, 1, 1), (4, 1, None), (7, 0, labels[7][2])]
     frames = spark.createDataFrame(docs, SCHEMA).repartition(4), spark.createDataFrame(labels, LABELS)
@@ -108,12 +109,23 @@ def test_held_out_accuracy(scored):
     assert len({r["score"] for r in rows if r["doc_id"] == 3}) == 1
 
 
-def test_joined_route_gives_the_same(scored):
+def test_a_model_in_parts_gives_the_same(scored):
     *_, frames, rows = scored
-    joined = toxicity.score(*frames, broadcast_grams=0).collect()
-    key = lambda r: (r["doc_id"] or -1, r["evidence_mean"])
-    for a, b in zip(sorted(rows, key=key), sorted(joined, key=key), strict=True):
-        assert a["doc_id"] == b["doc_id"] and abs(a["score"] - b["score"]) < 1e-4
+    parted = toxicity.score(*frames, broadcast_grams=12_000).collect()
+    key = lambda r: (r["doc_id"] or -1, round(r["evidence_mean"], 6), round(r["score"], 6))
+    for a, b in zip(sorted(rows, key=key), sorted(parted, key=key), strict=True):
+        assert a["doc_id"] == b["doc_id"] and abs(a["score"] - b["score"]) < 1e-6
+
+
+def test_parts_of_a_model_hold_what_they_say(spark):
+    docs, labels = corpus(80)
+    grams, contexts = toxicity.gram_tables(spark.createDataFrame([(t, x[2]) for (_, t, *_), x in zip(docs, labels)], "text string, label int"))
+    made, kept, ranges = toxicity._parted(grams.cache(), contexts.cache(), 800)
+    sizes = {r["part"]: r["count"] for r in made.groupBy("part").count().collect()}
+    assert len(ranges) > 4 and set(sizes) == set(range(len(ranges))) and sum(sizes.values()) == grams.count()
+    before = {k: {(x["key"] >> 8) & 0xFFFF for x in made.where(f"part = {k}").collect()} for k in sizes}
+    assert all(n <= 800 or len(before[k]) == 1 for k, n in sizes.items())
+    assert all(low <= x < high for k, (low, high) in enumerate(ranges) for x in before[k]) and kept.count() == contexts.count()
 
 
 def test_nothing_to_learn_from(spark):

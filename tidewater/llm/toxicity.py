@@ -14,11 +14,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import materialize, packed, unpacked
+from tidewater.llm.common import binary_tree, materialize, packed, release, unpacked
 
 #: Bytes of a gram: five of context and the one foretold. Six bytes fill 48 bits of a long.
 ORDER = 6
@@ -27,7 +28,7 @@ SHARED = 2
 DISCOUNT = 0.75
 #: Bytes of a block; a text's two most toxic blocks are evidence beside the whole.
 BLOCK = 32
-#: Up to so many grams the model is broadcast (12 bytes each, in a table at most 60 % full); beyond, grams are joined.
+#: So many grams of the model are broadcast at once (12 bytes each, in a table at most 60 % full); of a larger one each part in a pass of its own.
 BROADCAST_GRAMS = 4_000_000
 #: Up to so many labels (16 bytes each) are broadcast to the documents; beyond, both meet in a shuffled join.
 BROADCAST_LABELS = 500_000
@@ -178,68 +179,106 @@ class Lookup:
         return out, hit
 
 
-def evidence(texts: list[str], grams: Lookup, contexts: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text the mean log-likelihood ratio a byte, and those of its first and second most toxic block, a missing one 0."""
-    mean, peak, second = np.zeros((3, len(texts)))
+def block_sums(texts: list[str], grams: Lookup, contexts: Lookup, low: int = 0, high: int = 1 << 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes of each text, sums of the log-likelihood ratios of each of their blocks), of some texts at once.
+
+    Only bytes after two bytes from low to below high, as one number, count: what is looked up for a byte is in the part
+    of the model for the two bytes before it, whatever the order.
+    """
     for start, g, lengths in _pieces(texts):
         if not len(g):
+            yield start, lengths, np.zeros(0)
             continue
         ratio, open_ = np.zeros(len(g), dtype=np.float32), np.arange(len(g))
+        if (low, high) != (0, 1 << 16):
+            before = (g >> np.uint64(8)) & np.uint64(0xFFFF)
+            open_ = np.flatnonzero((before >= np.uint64(low)) & (before < np.uint64(high)))
         for k in range(ORDER, SHARED, -1):
             part, tag = g[open_] & np.uint64(_mask(k)), np.uint64(k << 48)
             value, hit = grams.get(part | tag)
             ratio[open_] += value
             open_ = open_[~hit]
             ratio[open_] += contexts.get((part[~hit] >> np.uint64(8)) | tag)[0]
-        filled = np.flatnonzero(lengths)
-        begins = (np.cumsum(lengths) - lengths)[filled]
-        mean[start + filled] = np.add.reduceat(ratio, begins, dtype=np.float64) / lengths[filled]
-        per = -(-lengths[filled] // BLOCK)
-        first = np.cumsum(per) - per
-        block_begins = np.repeat(begins - first * BLOCK, per) + np.arange(per.sum()) * BLOCK
-        sums = np.add.reduceat(ratio, block_begins, dtype=np.float64)
-        top = np.maximum.reduceat(sums, first)
-        peak[start + filled] = top / BLOCK
-        at = np.flatnonzero(sums == np.repeat(top, per))
-        sums[at[np.unique(np.repeat(np.arange(len(per)), per)[at], return_index=True)[1]]] = -np.inf
-        rest = np.maximum.reduceat(sums, first)
-        second[start + filled] = np.where(np.isfinite(rest), rest, 0) / BLOCK
-    return mean, peak, second
-
-
-def _evidence_by_join(texts: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
-    """The same evidence (key, e) where the model is too large to broadcast: grams meet it in shuffled joins."""
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys = b["key"].to_numpy()
-            for start, g, lengths in _pieces(b["text"].fillna("").tolist()):
-                at = np.arange(len(g)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                yield pd.DataFrame({"key": np.repeat(keys[start : start + len(lengths)], lengths), "block": at // BLOCK, "gram": g.astype(np.int64)})
-
-    each = texts.mapInPandas(blocks, "key bigint, block bigint, gram bigint").groupBy("key", "block", "gram").agg(F.count(F.lit(1)).alias("n"))
-    each = each.withColumns({"x": F.lit(0.0), "open": F.lit(True)})
-    for k in range(ORDER, SHARED, -1):
-        gram = F.col("gram").bitwiseAND(_mask(k))
-        each = each.withColumns({"g": F.when(F.col("open"), _keyed(k, gram)), "c": F.when(F.col("open"), _keyed(k, F.shiftright(gram, 8)))})
-        each = each.join(grams.select(F.col("key").alias("g"), F.col("value").alias("ratio")), "g", "left").join(contexts.select(F.col("key").alias("c"), F.col("value").alias("weight")), "c", "left")
-        each = each.withColumns({"x": F.col("x") + F.coalesce("ratio", "weight", F.lit(0.0)), "open": F.col("open") & F.col("ratio").isNull()}).drop("ratio", "weight", "g", "c")
-    each = each.withColumn("x", F.col("x") * F.col("n"))
-    by_block = each.groupBy("key", "block").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    sums = by_block.groupBy("key").agg((F.sum("x") / F.sum("n")).alias("mean"), F.sort_array(F.collect_list("x"), asc=False).alias("x"))
-    return sums.select("key", F.struct("mean", (F.col("x")[0] / BLOCK).alias("peak"), (F.coalesce(F.try_element_at("x", F.lit(2)), F.lit(0.0)) / BLOCK).alias("second")).alias("e"))
+        begins = np.cumsum(lengths) - lengths
+        per = -(-lengths // BLOCK)
+        block_begins = np.repeat(begins - (np.cumsum(per) - per) * BLOCK, per) + np.arange(per.sum()) * BLOCK
+        yield start, lengths, np.add.reduceat(ratio, block_begins, dtype=np.float64)
+
+
+def _summary(lengths: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Of each text the mean ratio a byte, and those of its first and second most toxic block, a missing one 0."""
+    out = np.zeros((len(lengths), 3))
+    filled = np.flatnonzero(lengths)
+    if not len(filled):
+        return out
+    per = -(-lengths[filled] // BLOCK)
+    first = np.cumsum(per) - per
+    out[filled, 0] = np.add.reduceat(sums, first) / lengths[filled]
+    top = np.maximum.reduceat(sums, first)
+    out[filled, 1] = top / BLOCK
+    rest = sums.copy()
+    at = np.flatnonzero(sums == np.repeat(top, per))
+    rest[at[np.unique(np.repeat(np.arange(len(per)), per)[at], return_index=True)[1]]] = -np.inf
+    second = np.maximum.reduceat(rest, first)
+    out[filled, 2] = np.where(np.isfinite(second), second, 0) / BLOCK
+    return out
+
+
+def evidence(texts: list[str], grams: Lookup, contexts: Lookup) -> np.ndarray:
+    """Of each text a row of the mean log-likelihood ratio a byte, and those of its first and second most toxic block."""
+    found = [_summary(lengths, sums) for _, lengths, sums in block_sums(texts, grams, contexts)]
+    return np.concatenate(found) if found else np.zeros((0, 3))
 
 
 @dataclass
 class Model:
-    """Lookups of grams and contexts, broadcast or as tables, and the logistic curve."""
+    """Grams and contexts as tables with a column part, the ranges of two bytes that the parts stand for, and the logistic curve.
+
+    A model of one part is broadcast once and for all; of several parts each is broadcast for a pass of its own.
+    """
 
-    broadcast: bool
-    grams: object
-    contexts: object
+    grams: DataFrame
+    contexts: DataFrame
+    ranges: list[tuple[int, int]]
     curve: list[float]
     centre: list[float]
     scale: list[float]
+    sent: tuple[Broadcast, Broadcast] | None = None
+
+    def part(self, k: int) -> tuple[Broadcast, Broadcast]:
+        spark = self.grams.sparkSession
+        return tuple(spark.sparkContext.broadcast(_lookup(t.where(F.col("part") == k).select("key", "value"))) for t in (self.grams, self.contexts))
+
+    def rated(self, rows: DataFrame, text: Column) -> DataFrame:
+        """rows with a column e: mean, peak, second. Each pass over several parts adds to the sums of blocks, which go with their rows."""
+        if len(self.ranges) == 1:
+            self.sent = self.sent or self.part(0)
+            return rows.withColumn("e", _evidence_column(text, *self.sent))
+        columns, done = rows.columns, rows.withColumn("sums", F.lit(None).cast("array<double>"))
+        for k, (low, high) in enumerate(self.ranges):
+            sent = self.part(k)
+            passed = materialize(done.withColumn("sums", _sums_column(text, F.col("sums"), *sent, low, high)), "toxicity-pass")
+            release(done)
+            done = passed
+            for one in sent:
+                one.destroy()
+        return done.select(*columns, _summary_column(text, F.col("sums")).alias("e"))
+
+
+def _parted(grams: DataFrame, contexts: DataFrame, most: int) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
+    """The tables with a column part, and the range of two bytes before a foretold one that each part has: as many as `most` grams hold, one at least."""
+    before = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    counts = {r["before"]: r["count"] for r in grams.groupBy(before.alias("before")).count().collect()}  # 2 ** 16 at most
+    bounds, held = [], 0
+    for x in sorted(counts):
+        if held and held + counts[x] > most:
+            bounds.append(x)
+            held = 0
+        held += counts[x]
+    made = [t.withColumn("part", binary_tree(b, bounds)) for t, b in ((grams, before), (contexts, F.col("key").bitwiseAND(0xFFFF)))]
+    if bounds:
+        made = [materialize(t, "toxicity-parts", "part") for t in made]
+    return *made, list(zip([0, *bounds], [*bounds, 1 << 16], strict=True))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float], list[float]]:
@@ -263,7 +302,6 @@ def train(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_G
 
     Several labels of a document count as its largest. Without rows of both classes: the share of toxic rows, or 0.
     """
-    spark = docs.sparkSession
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
 
     few = marks.count() <= BROADCAST_LABELS
@@ -278,18 +316,13 @@ def train(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_G
         return float(shares)
     grams, contexts = (materialize(t, "toxicity-model") for t in gram_tables(rows([0, 1]).select("text", "label")))
     share = CALIBRATION_ROWS / max(CALIBRATION_ROWS, marks.where(fold(F.col("doc_id")) == 3).count())
-    held = rows([3]).select("label", "text", F.xxhash64("doc_id").alias("key")).where(F.pmod("key", F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    small = grams.count() <= broadcast_grams
-    if small:
-        grams, contexts = (spark.sparkContext.broadcast(_lookup(t)) for t in (grams, contexts))
-        rated = held.select("label", _evidence_column(F.col("text"), grams, contexts).alias("e")).select("label", "e.*").toPandas()
-    else:
-        held = materialize(held, "toxicity-held")
-        rated = held.join(_evidence_by_join(held.select("key", "text").dropDuplicates(["key"]), grams, contexts), "key", "left").select("label", "e.*").toPandas()
+    held = rows([3]).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).select("label", "text")
+    model = Model(*_parted(grams, contexts, broadcast_grams), [], [], [])
+    rated = model.rated(held, F.col("text")).select("label", "e.*").toPandas()
     if rated["label"].nunique() < 2:
         return float(shares)
-    curve, centre, scale = _fit_curve(_features(rated), rated["label"].to_numpy().astype(float))
-    return Model(small, grams, contexts, curve, centre, scale)
+    model.curve, model.centre, model.scale = _fit_curve(_features(rated), rated["label"].to_numpy().astype(float))
+    return model
 
 
 def _lookup(table: DataFrame) -> Lookup:
@@ -298,11 +331,33 @@ def _lookup(table: DataFrame) -> Lookup:
     return Lookup(keys.to_numpy(), values.to_numpy())
 
 
-def _evidence_column(text: Column, grams: object, contexts: object) -> Column:
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("mean", "peak", "second"), evidence(texts.fillna("").tolist(), grams.value, contexts.value), strict=True)))
+_EVIDENCE = "mean double, peak double, second double"
+
+
+def _framed(summary: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame(summary, columns=["mean", "peak", "second"])
+
+
+def _evidence_column(text: Column, grams: Broadcast, contexts: Broadcast) -> Column:
+    return F.pandas_udf(lambda texts: _framed(evidence(texts.fillna("").tolist(), grams.value, contexts.value)), _EVIDENCE)(text)
+
+
+def _sums_column(text: Column, sums: Column, grams: Broadcast, contexts: Broadcast, low: int, high: int) -> Column:
+    def of(texts: pd.Series, before: pd.Series) -> pd.Series:
+        out = []
+        for _, lengths, sums in block_sums(texts.fillna("").tolist(), grams.value, contexts.value, low, high):
+            out += np.split(sums, np.cumsum(-(-lengths // BLOCK))[:-1])
+        return pd.Series([x if b is None else x + b for x, b in zip(out, before, strict=True)], dtype=object)
+
+    return F.pandas_udf(of, "array<double>")(text, sums)
+
+
+def _summary_column(text: Column, sums: Column) -> Column:
+    def of(texts: pd.Series, sums: pd.Series) -> pd.DataFrame:
+        lengths = np.array([len(" ".join(t.lower().split()).encode("utf-8", "replace")) for t in texts.fillna("")], dtype=np.int64)
+        return _framed(_summary(lengths, np.concatenate(sums.tolist()) if len(sums) else np.zeros(0)))
 
-    return F.pandas_udf(of, "mean double, peak double, second double")(text)
+    return F.pandas_udf(of, _EVIDENCE)(text, sums)
 
 
 def score(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
@@ -318,12 +373,7 @@ def score(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST_G
     if isinstance(model, float):
         value = F.lit(model)
         return unpacked(rows, columns, held_out=held_out, score=value, predicted=(value >= THRESHOLD).cast("int"), evidence_mean=F.lit(0.0), evidence_peak=F.lit(0.0))
-    if model.broadcast:
-        rated = rows.withColumn("e", _evidence_column(F.col("doc.text"), model.grams, model.contexts))
-    else:
-        keyed = rows.withColumn("key", F.xxhash64("doc.doc_id", "doc.text"))
-        found = _evidence_by_join(keyed.select("key", F.col("doc.text").alias("text")).dropDuplicates(["key"]), model.grams, model.contexts)
-        rated = keyed.join(found, "key", "left")
+    rated = model.rated(rows, F.col("doc.text"))
     mean, peak, second = (F.coalesce(f"e.{c}", F.lit(0.0)) for c in ("mean", "peak", "second"))
     z = F.lit(model.curve[0])
     for x, w, c, s in zip((mean, peak, second, F.least(peak, 2 * F.greatest(second, F.lit(0.0)))), model.curve[1:], model.centre, model.scale, strict=True):
