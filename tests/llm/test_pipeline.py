@@ -3,7 +3,10 @@
 import hashlib
 import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import pytest
 
@@ -14,6 +17,7 @@ from tests.llm.test_mixing_sharding import draw
 from tidewater.llm import decontamination, registry, toxicity
 
 DATA = "/root/testdata/sf0.001"
+REPO = Path(corpus_pipeline.__file__).parent
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -174,3 +178,33 @@ def test_mixing_equals_its_sql(spark, tmp_path):
     c.execute(f"CREATE TABLE b AS SELECT {names} FROM ({registry.oracle_sql()['op8_poisson_mixing']})")
     for q in ("FROM a EXCEPT ALL FROM b", "FROM b EXCEPT ALL FROM a"):
         assert c.execute(f"SELECT count(*) FROM ({q})").fetchall() == [(0,)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_scratch_goes_with_its_session(tmp_path):
+    """After the run only the last stage's scratch is there, and nothing once the session has stopped."""
+    shared = tmp_path / "shared"
+    code = f"""
+import os, sys
+from pyspark.sql import SparkSession
+import corpus_pipeline
+from tidewater.llm.common import scratch_path, shared_dir
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{shared}").getOrCreate()
+made = corpus_pipeline.run(spark, "{DATA}")
+assert made.count() > 0
+left = sorted(x.rsplit("-", 1)[0] for x in os.listdir("{shared}"))
+assert "pipeline-mixing" in left and not any(x in left for x in ("pipeline-toxicity", "toxicity-grams", "signatures", "pipeline-near_duplicates")), left
+spark.stop()
+assert [x for x in os.listdir("{shared}") if os.listdir(f"{shared}/" + x)] == []  # Spark itself keeps an empty folder
+class Elsewhere:
+    class conf:
+        get = staticmethod(lambda name, default: None)
+    class sparkContext:
+        master = "spark://somewhere:7077"
+try:
+    shared_dir(Elsewhere)
+except RuntimeError as error:
+    print("refused:", error)
+"""
+    said = subprocess.run([sys.executable, "-c", code], cwd=REPO, env=os.environ | {"PYTHONPATH": str(REPO)}, capture_output=True, text=True, timeout=600)
+    assert said.returncode == 0 and "refused: set spark.checkpoint.dir" in said.stdout, said.stderr[-2000:]

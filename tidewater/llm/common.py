@@ -99,6 +99,17 @@ def release(*frames: DataFrame | None) -> None:
     _scratch.remove({getattr(f, "scratch", None) for f in frames if f is not None} - {None})
 
 
+def scratch_mark() -> int:
+    """A point in the list of scratch paths, for release_since."""
+    return len(_scratch.paths)
+
+
+def release_since(mark: int, *kept: DataFrame) -> None:
+    """Remove the scratch made since a point, but for the tables of these frames."""
+    keep = {getattr(f, "scratch", None) for f in kept}
+    _scratch.remove({path for _, path in _scratch.paths[mark:]} - keep)
+
+
 def others(df: DataFrame, taken: list[str]) -> list[Column]:
     """The columns of df but for those that a result column of the same name replaces."""
     low = {x.lower() for x in taken}
