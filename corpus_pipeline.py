@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontamination, minhash, mixing, sharding, toxicity
-from tidewater.llm.common import materialize
+from tidewater.llm.common import materialize, release, release_since, scratch_mark
 
 #: SQL cannot express the language model, the join by MinHash or the retrieval.
 ORACLE_SQL = None
@@ -58,8 +58,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared folder."""
+    """All stages over documents; what lies between them is written to the shared folder, and a stage's scratch goes when its result stands."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark, before = scratch_mark(), docs
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release_since(mark, docs)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
