@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import packed, unpacked
+from tidewater.llm.common import materialize, packed, release, unpacked
 
 #: Runs that may be secrets.
 CANDIDATE = "[A-Za-z0-9+/_=-]{16,}"
@@ -132,7 +132,7 @@ def features(run: Column, before: Column, after: Column, place: Column) -> dict[
 
 
 def labelled_findings(spark: SparkSession, rows: int = 8_000) -> DataFrame:
-    """run, before, after, place, label: findings of known kind, made from hashes, half of them secrets."""
+    """run, before, after, place, label, kind: findings made from hashes, half of them secrets; kind is the number of what made them, secrets' from 0 and others' from 100."""
     seed = lambda k: F.sha2(F.concat_ws(":", F.lit(k), F.col("id")), 256)
     pick = lambda k, *of: F.element_at(F.array(*[F.lit(x) for x in of]), F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(of))).cast("int") + 1)
     some = lambda k, a, b: (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(b - a + 1)) + a).cast("int")
@@ -145,7 +145,7 @@ def labelled_findings(spark: SparkSession, rows: int = 8_000) -> DataFrame:
 
     prose = F.concat(words(PAIRS, F.lit(4), ""), F.lit(" "), words(PAIRS, F.lit(3), ""), F.lit(", "), words(PAIRS, some("p", 1, 4), ""), F.lit(" "))
     name = pick("n", "token", "secret", "password", "api_key", "API-KEY", "access_key", "auth_token", "client_secret", "TOKEN", "db_passwd", "credentials", "private_key")
-    sign = pick("s", ' = "', "=", ": ", ":'", ' => "', "!! =!! \"", " := `", "###: ", " = ", '": "')
+    sign = pick("s", ' = "', "=", ": ", ":'", ' => "', " == ", " := `", ' : "', " = ", '": "')
     secret = [
         (F.substring(seed("a"), 1, 40), F.concat(prose, name, sign)),
         (F.substring(seed("a"), 1, 32), F.concat(prose, name, sign)),
@@ -160,7 +160,7 @@ def labelled_findings(spark: SparkSession, rows: int = 8_000) -> DataFrame:
         (words(PAIRS, some("l", 8, 18), ""), prose),
         (F.initcap(words(PAIRS, some("l", 8, 14), "")), F.concat(prose, pick("e", ". ", "\n", "", "! ", "=", ": "))),
         (words(PAIRS, some("l", 8, 14), ""), F.concat(prose, pick("e", "the token ", "a secret ", "this password ", "auth "), words(PAIRS, F.lit(2), ""), F.lit(" "))),
-        (F.upper(words(PAIRS, some("l", 8, 14), "")), F.concat(F.upper(prose), pick("e", "!! ", "&&& ", " "))),
+        (F.upper(words(PAIRS, some("l", 8, 14), "")), F.concat(F.upper(prose), pick("e", ": ", "- ", " "))),
         (F.substring(seed("a"), 1, 40), F.concat(prose, pick("h", "commit ", "sha1: ", "checksum=", "Merge revision ", "hash = ", 'etag: "'))),
         (F.substr(seed("a"), F.lit(1), some("l", 32, 64)), F.concat(pick("h", "md5 ", "sha256:", "digest: ", "integrity ", "build "), pick("q", "", "is ", "= "))),
         (F.concat_ws("-", F.substring(seed("a"), 1, 8), F.substring(seed("a"), 9, 4), F.substring(seed("a"), 13, 4), F.substring(seed("a"), 17, 12)), F.concat(prose, pick("h", "uuid: ", "id=", "urn:uuid:"))),
@@ -175,30 +175,34 @@ def labelled_findings(spark: SparkSession, rows: int = 8_000) -> DataFrame:
         (words(DICTIONARY, some("l", 3, 5), "="), F.concat(prose, pick("e", "?", "&", "config: "))),
     ]
 
-    def chosen(of: list[tuple[Column, Column]], part: int) -> Column:
+    def chosen(of: list[tuple[Column, Column]], lead: int) -> Column:
         which = F.pmod(F.xxhash64(F.lit("kind"), "id"), F.lit(len(of)))
-        out = F.struct(of[0][0].alias("run"), of[0][1].alias("before"))
-        for k, (run, before) in enumerate(of):
-            out = F.when(which == k, F.struct(run.alias("run"), before.alias("before"))).otherwise(out)
+        one = lambda k: F.struct(of[k][0].alias("run"), of[k][1].alias("before"), F.lit(lead + k).alias("kind"))
+        out = one(0)
+        for k in range(len(of)):
+            out = F.when(which == k, one(k)).otherwise(out)
         return out
 
     label = (F.col("id") % 2).cast("int")
-    made = spark.range(0, rows, 1, 4).select("id", label.alias("label"), F.when(label == 1, chosen(secret, 0)).otherwise(chosen(other, 1)).alias("x"))
-    after = pick("t", '" ', '"', " ", "'\n", "; ", ", ", ".", '"###')
+    made = spark.range(0, rows, 1, 4).select("id", label.alias("label"), F.when(label == 1, chosen(secret, 0)).otherwise(chosen(other, 100)).alias("x"))
+    after = pick("t", '" ', '"', " ", "'\n", "; ", ", ", ".", '")')
     place = F.when(label == 0, pick("f", "src1", "src2", "tests/unit", "docs", "web", "src3")).otherwise(pick("f", "src1", "src2", "src3", "web", "app/config", "tests/unit"))
-    texts = made.select(F.concat("x.before", "x.run", after).alias("text"), F.length("x.before").alias("at"), F.length("x.run").alias("n"), place.alias("place"), "label")
+    texts = made.select(F.concat("x.before", "x.run", after).alias("text"), F.length("x.before").alias("at"), F.length("x.run").alias("n"), place.alias("place"), "label", "x.kind")
     # what stands beside a secret, as its name, is none
     secret_here = (F.col("doc.label") == 1) & (F.col("start") < F.col("doc.at") + F.col("doc.n")) & (F.col("start") + F.length("run") > F.col("doc.at"))
-    return parted(candidates(texts)).select("run", "before", "after", "doc.place", secret_here.cast("int").alias("label"))
+    return parted(candidates(texts)).select("run", "before", "after", "doc.place", secret_here.cast("int").alias("label"), "doc.kind")
 
 
 def train(findings: DataFrame) -> RandomForestClassificationModel:
     """A forest over the features of labelled findings (run, before, after, place, label), of TRAINING_ROWS at most."""
     used = findings.orderBy(F.xxhash64("run", "before", "after")).limit(TRAINING_ROWS)
     x = used.select(F.col("label").cast("double").alias("label"), *[c.alias(n) for n, c in features(F.col("run"), F.col("before"), F.col("after"), F.col("place")).items()])
-    names = x.columns[1:]
+    # the forest reads its rows several times: once made they are a small table
+    names, x = x.columns[1:], materialize(x, "secret-features")
     data = VectorAssembler(inputCols=names, outputCol="features").transform(x).select("label", "features")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(data)
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(data)
+    release(x)
+    return model
 
 
 def rate(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
@@ -213,6 +217,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     """Every secret found: the document's other columns with start, secret, score (in place of columns so named), without text.
 
     findings: labelled findings to learn from; without them the generated ones. source, where docs has it, is the place.
+    A candidate is a run of 16 or more letters, digits and + / _ = -; shorter passwords, and the parts of those with other
+    signs that are shorter, are no candidates and are never found.
     Null and empty texts hold none; repeated rows give repeated findings; equal secrets are found wherever they stand.
     No documents: no rows.
     """
