@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidewater.llm import fingerprints as f
 
@@ -84,3 +85,23 @@ def test_few_rows_ties_and_null_ids(spark):
     assert len(many) == 6 and sum(x["doc_id"] is None for x in many) == 2
     assert len({x["fingerprint"] for x in many if x["n_chars"] == 3}) == 2
     assert np.all([0 <= x["near_next"] <= 1 for x in many])
+
+
+def test_an_id_that_most_rows_share(spark):
+    r = random.Random(3)
+    rows = [(None if k % 4 else k, "".join(r.choice("abcdé") for _ in range(r.randint(0, 30)))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = [(-(1 << 63) if i is None else i, h, i, t) for i, t, h in df.select("doc_id", "text", f.row_hash(F.col("doc_id"), F.col("text"))).collect()]
+    ordered = sorted(keyed, key=lambda x: x[:2], reverse=True)
+    want = []
+    for k, (*_, i, t) in enumerate(ordered):
+        following, n = ordered[(k + 1) % len(ordered)][3], len(t)
+        want.append((i or -1, hashlib.sha256((t[: n - n // 3] + following[: n // 3]).encode()).hexdigest()))
+    got = [(x["doc_id"] or -1, x["edited_sha256"]) for x in f.edited_pairs(df).collect()]
+    assert sorted(got) == sorted(want)
+    cuts = f.Counter({-(1 << 63): 20, 8: 1, 200: 1})
+    bins = spark.createDataFrame([x[:2] for x in keyed], "id long, row long").withColumn("bin", f._bin(F.col("id"), F.col("row"), cuts))
+    sizes = {x["bin"]: x["count"] for x in bins.groupBy("bin").count().collect()}
+    assert len(sizes) >= 20 and max(sizes.values()) < 100
+    of = sorted((x["id"], x["row"], x["bin"]) for x in bins.collect())
+    assert [x[2] for x in of] == sorted(x[2] for x in of)

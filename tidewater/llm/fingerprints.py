@@ -8,11 +8,12 @@ from either end.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import binary_tree
@@ -170,26 +171,38 @@ def _pair(one: tuple, after: tuple) -> tuple:
     return doc_id, own.n, digest, print_, changed, likeness(print_, changed), likeness(print_, next_print)
 
 
+def _bin(id_: Column, row: Column, cuts: Counter) -> Column:
+    """The number of a row's range, ascending with (id, row). An id that several cuts fall on has several ranges of its own, by row."""
+    bounds = sorted(cuts)
+    below = binary_tree(id_, bounds)
+    pieces = F.element_at(F.array(F.lit(1), *[F.lit(cuts[x]) for x in bounds]), below + 1)
+    own = F.element_at(F.array(F.lit(None).cast("long"), *[F.lit(x) for x in bounds]), below + 1)
+    place = F.floor((row.cast("double") / F.lit(2.0**64) + F.lit(0.5)) * pieces)
+    piece = F.when(pieces == 1, F.lit(0)).when(id_ == own, F.least(place, pieces - 1)).otherwise(pieces)
+    return below.cast("long") * F.lit(len(cuts) + sum(cuts.values()) + 1) + piece
+
+
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Of each document its fingerprint, that of its edited text, and their likeness, and that to the next document.
 
     The next document is the one of the next smaller doc_id (null last; rows of equal id by their hash), the first one
     after the last. The edited text has the last third of the code points replaced by the first as many of the next
     document, or all of them. Null texts are as empty ones. One document is its own next. No documents: no rows.
-    Documents are dealt out by ranges of doc_id, and of each range the first row goes to the range before it as well,
-    so no task needs more than its range in order, one text after the other.
+    Documents are dealt out by ranges of doc_id, those of an id that many rows share by ranges of their hash, and of each
+    range the first row goes to the range before it as well, so no task needs more than its range in order, one text
+    after the other.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LOWEST)).alias("id"), row_hash(F.col("doc_id"), F.col("text")).alias("row"))
     parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(x) for x in rows.select("id").approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    rows = rows.withColumn("bin", binary_tree(F.col("id"), bounds))
-    tops = sorted((r["bin"], r["top"]) for r in rows.groupBy("bin").agg(F.max("id").alias("top")).collect())  # one row a range
+    cuts = Counter(int(x) for x in rows.select("id").approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts))
+    rows = rows.withColumn("bin", _bin(F.col("id"), F.col("row"), cuts))
+    tops = sorted((r["bin"], r["top"]["id"], r["top"]["row"]) for r in rows.groupBy("bin").agg(F.max(F.struct("id", "row")).alias("top")).collect())  # one row a range
     if not tops:
         return spark.createDataFrame([], _PAIRED)
-    to = spark.createDataFrame([(top, tops[(k + 1) % len(tops)][0]) for k, (_, top) in enumerate(tops)], "top long, target int")
-    firsts = rows.where(F.col("id").isin([t for _, t in tops])).join(F.broadcast(to), F.col("id") == F.col("top"))
+    to = spark.createDataFrame([(i, r, tops[(k + 1) % len(tops)][0]) for k, (_, i, r) in enumerate(tops)], "top long, top_row long, target long")
+    firsts = rows.where(F.col("id").isin([i for _, i, _ in tops])).join(F.broadcast(to), (F.col("id") == F.col("top")) & (F.col("row") == F.col("top_row"))).dropDuplicates(["target"])
     whole = rows.withColumn("halo", F.lit(False)).unionByName(firsts.select("doc_id", "text", "id", "row", F.col("target").alias("bin"), F.lit(True).alias("halo")))
     dealt = whole.repartition("bin").sortWithinPartitions("bin", "halo", F.desc("id"), F.desc("row"))
     return dealt.select("bin", "halo", "doc_id", "text").mapInPandas(_paired, _PAIRED)

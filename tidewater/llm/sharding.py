@@ -94,8 +94,9 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, chunk_byte
     of a shard) and one document at most. Equal texts stand next to each other and in one shard, but for groups that a
     boundary must part. Rows of the same text and doc_id are alike, so it does not matter which gets which slot. A null
     text is as an empty one of size 1; a null doc_id sorts first. No documents: no rows.
-    A task sorts about chunk_bytes, or less where that would leave tasks idle, since each shard is dealt out in narrower key ranges and a large group of equal
-    texts by salt; slots come from exact counts of these ranges.
+    Each shard is dealt out in key ranges of about chunk_bytes, or less where that would leave tasks idle, and a large
+    group of equal texts by salt; a task sorts the ranges that hash to it, a few at most. Slots come from exact counts of
+    the ranges: for these, one row a range, a task a shard.
     """
     columns = docs.columns
     base = packed(docs).select("doc", sort_key(F.col("doc.text"), F.col("doc.doc_id")).alias("key"), text_size(F.col("doc.text")).alias("size"))
