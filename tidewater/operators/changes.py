@@ -140,6 +140,18 @@ def apply_keys(store: DataFrame, events: DataFrame) -> DataFrame:
     return out.select(*columns)
 
 
+def keyspace_events(raw: DataFrame, database: int = 0) -> DataFrame:
+    """seq, key, op from notifications (seq, channel, message) of a database's keys: del, set and hset, and copy for whatever else changed a key.
+
+    A key that expired or was evicted is gone, as after del. What set, hset and copy put there is not in the notification:
+    it is read from the store, and joined by key.
+    """
+    lead = f"__keyspace@{database}__:"
+    message = F.lower("message")
+    op = F.when(message.isin("del", "expired", "evicted"), "del").when(message.isin("set", "hset"), message).otherwise("copy")
+    return raw.where(F.startswith("channel", F.lit(lead))).select("seq", F.substr("channel", F.lit(len(lead) + 1)).alias("key"), op.alias("op"))
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that are not unique, with their count: the check that stands for a unique index."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _loaded() -> None:
-    from tidewater.plans import catalog, counts, history, privacy, replication, streams  # noqa: F401
+    from tidewater.plans import catalog, counts, files, history, privacy, replication, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

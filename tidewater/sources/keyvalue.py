@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -25,14 +26,15 @@ class KeyValueReader(DataSourceReader):
     def _filesystem(self) -> tuple[object, str]:
         import pyarrow.fs
 
-        return pyarrow.fs.FileSystem.from_uri(self.path) if "://" in self.path else (pyarrow.fs.LocalFileSystem(), self.path)
+        path = re.sub(r"^file:/(?!/)", "file:///", self.path)
+        return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
 
     def partitions(self) -> list[InputPartition]:
         import pyarrow.fs
 
         fs, base = self._filesystem()
         found = fs.get_file_info(pyarrow.fs.FileSelector(base, recursive=True))
-        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file]
+        return [_File(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and not f.base_name.startswith(("_", "."))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         fs, _ = self._filesystem()
