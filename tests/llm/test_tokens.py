@@ -27,6 +27,7 @@ def test_elias_fano(seed):
 def texts():
     r = random.Random(3)
     odd = ["It's  we'll HE'D !!'s ''ve x²³ ½ 12,000% \t\n\r--__", "<|endoftext|> a <|startoftext|>b <| x", "naïve CAFÉ ÀÖØ ß ÿ ª º µ ×÷", "한글 🌟 ∑≠ ΑΣ Σ İi  ­\u0085  é", "", "a" * 3000, "\x1c\x00x", "…’"]
+    odd += [" ".join(r.choice("some quite ordinary words of a long text, é 12".split()) for _ in range(60_000)), "한글 text " * 20_000, "x1" * 100_000]
     pool = "abcdeéßñ'’.,!?-_ 0123½\n\tÀΣ한 <|>"
     return odd + ["".join(r.choice(pool) for _ in range(r.randint(0, 200))) for _ in range(300)] + [None]
 

@@ -162,7 +162,7 @@ def _block(name: Column, first: Column, within: Column) -> Column:
 _BLOCK_COLUMNS = ["set", "weight", "doc_id", "row", "block", "first", "within", "band"]
 
 
-def _blocks(sets: DataFrame, banded: DataFrame, threshold: float) -> DataFrame:
+def _blocks(sets: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Each candidate set once for every verification block that it is part of.
 
     A component of candidates is one block where it is small enough. A larger one is parted in one of two ways, whichever
@@ -187,7 +187,11 @@ def _blocks(sets: DataFrame, banded: DataFrame, threshold: float) -> DataFrame:
     below = by_level.select("root", (F.col("level") + 1).alias("level"), F.col("parts").alias("parts_below"))
     sized = by_level.join(above, ["root", "level"], "left").join(below, ["root", "level"], "left")
 
-    members = materialize(banded.join(sets.where("large").select("set", "root", "n"), "set"), "members")
+    # from the signatures, so that the bands of all other sets are not dealt out once more
+    big = sets.where("large").select("set", "root", "n")
+    big = materialize(big, "large-sets")
+    big = F.broadcast(big) if big.count() <= BROADCAST_SETS else big
+    members = materialize(signed.select("set", "bands").join(big, "set").groupBy("set", "root", "n").agg(F.any_value("bands").alias("bands")).select("set", "root", "n", F.posexplode("bands").alias("band", "hash")), "members")
     buckets = members.groupBy("band", "hash").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("set")).alias("mark")).where("size > 1")
     # one bucket of each different group of sets, that of the first band
     different = buckets.groupBy("root", "mark", "size", "shingles").agg(F.min(F.struct("band", "hash")).alias("b"))
@@ -247,7 +251,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     near = components(edges)
 
     candidates = sets.join(near, sets["set"] == near["node"]).select("set", "n", "weight", "doc_id", "row", "root")
-    blocks = materialize(_blocks(candidates, banded, threshold), "blocks")
+    blocks = materialize(_blocks(candidates, signed, threshold), "blocks")
     fetch = blocks.select(F.struct(*_BLOCK_COLUMNS).alias("b"))
     if blocks.count() <= BROADCAST_SETS:
         fetch = F.broadcast(fetch)
