@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.config import CountCondition, PiiRule, TableMapping, Task, task_from_json
+from tidewater.functions.names import lsn, lsn_column
 from tidewater.functions.pii import protect
 from tidewater.operators import schedule
 from tidewater.plans.registry import AS_OF, query, table
@@ -55,6 +56,19 @@ def stream_replay_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _followed(spark, sf_dir, prepare=hide, ignore_deletes=True).read()
 
 
+@query(f"""
+WITH log AS (SELECT *, {_OP_SQL} AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_id * 16 >= 4096)
+SELECT user_id, event_type, value, ts FROM log WHERE rn = 1 AND op <> 'delete'
+""")
+def stream_stale_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions that ended before the last written position are left out of the stream."""
+    folder = shared_folder(spark, "stream")
+    replica = _replica(spark, folder)
+    events = _events(spark, sf_dir).withColumn("txn_lsn", lsn_column(F.concat(F.lit("0/"), F.hex(F.col("seq") * 16))))
+    follow(events, replica, f"{folder}/checkpoint", since=lsn("0/1000")).awaitTermination()
+    return replica.read()
+
+
 _LAST_SQL = """
 SELECT user_id, event_type, value, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE {where}) WHERE rn = 1 AND event_type <> 'error'
 """

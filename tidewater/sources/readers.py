@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.names import matching
+from tidewater.streaming.batching import rate_options
 
 #: The reader for each kind of source; all but files need the engine's connector among the jars.
 FORMATS = {"jdbc": "jdbc", "mysql": "jdbc", "mariadb": "jdbc", "postgresql": "jdbc", "mongodb": "mongodb", "redis": "org.apache.spark.sql.redis", "parquet": "parquet", "json": "json", "csv": "csv", "orc": "orc"}
@@ -40,11 +41,12 @@ def snapshot(spark: SparkSession, kind: str, table: str, options: dict[str, str]
     return df.select(*columns) if columns else df
 
 
-def changes(spark: SparkSession, path: str, schema: str, kind: str = "json", streaming: bool = False, files_per_trigger: int = 10) -> DataFrame:
-    """A landed change log. As a stream the checkpoint keeps the position, and the source gives out so many files at once."""
+def changes(spark: SparkSession, path: str, schema: str, kind: str = "json", streaming: bool = False, files_per_trigger: int | None = None) -> DataFrame:
+    """A landed change log. As a stream the checkpoint keeps the position, and the source gives out so many files at once, or if not given as many as the bound of bytes allows."""
     if not streaming:
         return spark.read.schema(schema).format(kind).load(path)
-    return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", files_per_trigger).load(path)
+    bounds = rate_options() if files_per_trigger is None else rate_options(0, files_per_trigger)
+    return spark.readStream.schema(schema).format(kind).options(**bounds).load(path)
 
 
 def parsed_changes(raw: DataFrame, row: str) -> DataFrame:
